@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, sharding, token_counts
+from . import chat, mixing, pieces, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sentencepiece": pieces.op3_sentencepiece,
         "op4_token_counts": token_counts.op4_token_counts,
+        "op8_chat": chat.op8_chat,
         "op9_mixing": mixing.op9_mixing,
         "op10_sharding": sharding.op10_sharding,
     }
@@ -21,5 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_token_counts": token_counts.ORACLE_SQL,
+        "op8_chat": chat.ORACLE_SQL,
         "op9_mixing": mixing.ORACLE_SQL,
     }
