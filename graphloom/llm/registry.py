@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, pieces, sharding, token_counts
+from . import chat, language, mixing, pieces, quality, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sentencepiece": pieces.op3_sentencepiece,
         "op4_token_counts": token_counts.op4_token_counts,
+        "op6_language_id": language.op6_language_id,
+        "op7_quality": quality.op7_quality,
         "op8_chat": chat.op8_chat,
         "op9_mixing": mixing.op9_mixing,
         "op10_sharding": sharding.op10_sharding,
