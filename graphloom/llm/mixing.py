@@ -64,17 +64,23 @@ def _split(quotas: DataFrame, levels: int) -> DataFrame:
     return quotas.select((F.col("node") - 2**levels).alias("shard"), "src", "quota")
 
 
-def mixture(docs: DataFrame, weights: list[int], share: tuple[int, int] = (3, 2), cap: int = 2, shard_levels: int = 4, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(plan, sources): plan has every row of docs once, as (id, source, size, src, copies).
+def mixture(docs: DataFrame, weights: list[int], share: tuple[int, int] = (3, 2), cap: int = 2, shard_levels: int = 4, id_col: str = "doc_id", carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(plan, sources): plan has every row of docs once, as (id, source, size, src, copies) and the columns to carry.
 
-    copies lists the shard, pass and order of each time that the mixture takes the document.
-    ``share`` is the mixture's words as a fraction of all words. Sources fit a broadcast only if counted so.
+    copies lists the shard, pass and order of each time that the mixture takes the document. Carried columns
+    come from docs themselves, read once more, and meet only small tables: whole texts are not shuffled, but for
+    those of the blocks that a target cuts. ``share`` is the mixture's words as a fraction of all words. Sources fit a broadcast only if counted so.
     """
     sizes = stored(docs.select(F.col(id_col).alias("_id"), "source", word_count(F.col("text")).alias("size")), "sizes")
     sources = stored(source_targets(sizes, weights, share, cap), "sources")
     n_sources = sources.count()
-    keyed = sizes.join(small(sources.select("source", "src", "n_blocks"), n_sources), sizes["source"].eqNullSafe(sources["source"])).select("_id", sizes["source"], "size", "src", "n_blocks")
-    keyed = keyed.withColumn("block", draw52(F.lit(SEED), F.lit("block"), F.col("_id")) % F.col("n_blocks"))
+    about = small(sources.select(F.col("source").alias("_source"), "src", "n_blocks"), n_sources)
+    block = draw52(F.lit(SEED), F.lit("block"), F.col("_id")) % F.col("n_blocks")
+
+    def with_block(rows: DataFrame) -> DataFrame:
+        return rows.join(about, F.col("source").eqNullSafe(F.col("_source"))).withColumn("block", block).drop("_source", "n_blocks")
+
+    keyed = with_block(sizes)
     blocks = stored(keyed.groupBy("src", "block").agg(F.sum("size").alias("words")), "blocks")
     n_blocks = blocks.count()
     passes = blocks.join(F.broadcast(sources.select("src", "target", "source_size")) if n_sources <= 20_000 else sources.select("src", "target", "source_size"), "src").select(
@@ -94,7 +100,9 @@ def mixture(docs: DataFrame, weights: list[int], share: tuple[int, int] = (3, 2)
     dealt = ranges.select("src", "shard", F.explode(F.sequence((F.col("_from") + 1).cast("int"), (F.col("_from") + F.col("quota")).cast("int"))).alias("rank"))
     dealt = units.join(dealt, ["src", "rank"])
     by_block = dealt.groupBy("src", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "room", "words"))).alias("units"))
-    marked = keyed.join(small(by_block, n_blocks), ["src", "block"], "left")
+    carry = [c for c in carry or [] if c not in (id_col, "source")]
+    every = with_block(docs.select(F.col(id_col).alias("_id"), "source", word_count(F.col("text")).alias("size"), *[F.col(c).alias(f"_carry_{c}") for c in carry])) if carry else keyed
+    marked = every.join(small(by_block, n_blocks), ["src", "block"], "left")
     cut = F.exists("units", lambda u: u["room"] < u["words"])
     whole = marked.filter(F.coalesce(~cut, F.lit(True))).withColumn("_mid", F.lit(0.0))
     # Only blocks that a target cuts need the order of their documents: one for each source at most.
@@ -103,7 +111,7 @@ def mixture(docs: DataFrame, weights: list[int], share: tuple[int, int] = (3, 2)
     taken = F.filter(F.coalesce("units", F.array()), lambda u: (u["room"] >= u["words"]) | (F.col("_mid") <= u["room"]))
     copies = F.transform(taken, lambda u: F.struct(u["shard"].cast("int").alias("shard"), u["pass"].alias("pass"), draw52(F.lit(SEED), F.lit("order"), F.col("_id"), u["pass"]).alias("order")))
     both = whole.unionByName(parted)
-    return both.select(F.col("_id").alias(id_col), "source", "size", "src", copies.alias("copies")), sources
+    return both.select(F.col("_id").alias(id_col), "source", "size", "src", copies.alias("copies"), *[F.col(f"_carry_{c}").alias(c) for c in carry]), sources
 
 
 def mixed_rows(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:

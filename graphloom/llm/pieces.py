@@ -24,6 +24,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -303,10 +304,10 @@ def default_model() -> bytes:
 def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", outputs: str = "all", batch: int = 64) -> DataFrame:
     """(id, ids, n_tokens, ids_sha256, decoded, decoded_sha256) for each row of df; one pass, no shuffle.
 
-    outputs "digest" leaves ids and decoded out, so that whole texts don't travel back.
+    outputs "ids" leaves decoded out and "digest" ids too, so that whole texts don't travel back.
     The model's bytes (half a megabyte) go with the function to the executors.
     """
-    whole = outputs == "all"
+    whole, with_ids = outputs == "all", outputs in ("all", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
@@ -325,12 +326,16 @@ def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
                     "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
                     "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]),
                 }
+                if with_ids:
+                    ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+                    flat = np.frombuffer(b"".join(ids), dtype="<i4")
+                    out |= {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
                 if whole:
-                    out |= {"ids": pa.array([list(memoryview(x).cast("I")) for x in ids], pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}
+                    out["decoded"] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * whole
+    schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * whole
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, mixing, pieces, pivots, quality, sharding, token_counts, topk
+from . import chat, jaccard, language, mixing, pieces, pivots, quality, sharding, token_counts, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": pivots.op1_embedding_dedup,
+        "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
         "op3_sentencepiece": pieces.op3_sentencepiece,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_topk": topk.op5_topk,
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_embedding_dedup": pivots.ORACLE_SQL,
+        "op2_ngram_jaccard": jaccard.ORACLE_SQL,
         "op4_token_counts": token_counts.ORACLE_SQL,
         "op5_topk": topk.ORACLE_SQL,
         "op8_chat": chat.ORACLE_SQL,
