@@ -1,0 +1 @@
+"""No operator of this library is a stream: a graph is read once and ordered once."""
