@@ -5,23 +5,32 @@ similarity of p % or more exactly if at most D = (100 - p)(a + b) / (100 + p) el
 only. Size bands overlap so that every pair that the sizes allow lies inside one band. A band deals
 all hashes to m > D segments, so that a set falls into m subsets; two similar sets can't differ in all segments.
 
-A document's allocation says what it indexes in a segment, by cost:
-
-- a non-empty subset is indexed whole, one row for one unit of the bound;
-- an empty subset would meet all others that are empty there, and is skipped: it costs most;
-- a document that lacks units then (it needs D + 1 for the largest partner of its band) buys them by
-  one-deletion neighbourhoods, c rows for one unit more in a subset of c >= 2 elements;
-- only if units are still lacking, empty subsets are indexed, in a space which only such documents use.
-
-If two sets are similar, the one which needs least special treatment finds the other by its own allocation: its
-units exceed D, so in some segment the subsets differ by no more than it allows there, and the other
-indexes what is needed (a document that buys units indexes all its one-deletion neighbourhoods). m is the least
-number of segments whose expected non-empty ones cover the need of a document at the upper end of its band.
-
-A key's documents are tied to the least of them, a row for each; the pairs are verified exactly and joined to
-components. Only keys whose documents are not in one component after that give further pairs, across
-components alone. So a group of near copies costs rows in proportion to its size, not to its square, and no
-link between different texts can be lost. Equal sets are tied by a 128-bit fingerprint before, and a
+A document's allocation says what it indexes in a segment, by what that costs. A subset's cost is the number of
+documents that it would meet. Subsets that are empty, or consist of frequent shingles only (boilerplate), meet
+crowds: the least document frequencies are counted over all documents with mergeable bounded summaries, and
+at most ``FREQUENT`` shingles count as frequent. Which shingles do never changes the result, only the rows.
+
+- a subset with a rare shingle is indexed whole: one row for one unit of the bound;
+- any other subset is skipped: no row, no unit;
+- a document that lacks units then (it needs D + 1 for the largest partner of its band) buys them by the
+  one-deletion neighbourhoods of its subsets with two rare shingles or more: c rows for one unit more each;
+- only if units are still lacking, the skipped subsets are indexed, in a space that only such documents use.
+
+If two sets are similar, let x be the one that needs less of this. Its units exceed D, so in some segment the
+subsets differ by no more than x allows there. If they are equal there, both index it. If one element is missing
+or added in a subset of which x keeps the neighbourhood, at least one rare shingle is common, so the other
+document indexes the subset too; and if that document needs no neighbourhoods, the pair is found by its own
+allocation. Two documents of the last kind share all segments. m is the least number of segments whose
+expected non-empty ones cover the need of a document at the upper end of its band.
+
+Candidates are never written out as all pairs of a key. A key's documents are first tied to the least of them, a
+row for each. Before any pair is verified by whole sets, a parity bitmap rules out what it can: each element flips
+one bit, so the bits in which two bitmaps differ are at most the elements in which the sets do, and nearly as
+many. What passes is verified exactly and joined to components. Keys whose documents are still in several
+components then form clusters, whose documents are compared by bitmap in blocks, inside a band; a block gives a
+spanning forest of the components that it could join, a row for a document at most. Those are verified, and after
+them the few pairs across components that still pass the bitmap filter: all of them, so no link between
+different texts is lost, while a group of near copies costs rows in proportion to its size. Equal sets are tied by a 128-bit fingerprint before, and a
 task indexes a set that it meets again only once.
 
 Null and empty texts have the empty set and link with nothing; texts with fewer words than a shingle have
@@ -42,13 +51,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import runs, stored, table
 from .components import components
 
 U = np.uint64
 ODD = tuple(U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 #: Hashed words that a worker remembers.
 WORDS_KEPT = 500_000
+#: Shingles that may count as frequent, and the documents that such a shingle is in at least.
+FREQUENT, LEAST = 4096, 100
+#: Documents of a piece of a cluster; two pieces meet in a block.
+BLOCK = 1024
 
 
 class _Hashes(dict):
@@ -106,13 +119,32 @@ def bands(percent: int, limit: int) -> tuple[tuple[int, int, int], ...]:
     return tuple(out)
 
 
+def band_numbers(size: int, percent: int) -> list[int]:
+    return [k for k, (low, high, _) in enumerate(bands(percent, _rounded(size))) if low <= size <= high]
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """A bitmap in 64-bit words, twice as many bits as elements at least; every element flips one bit."""
+    n_bits = max(256, 1 << (2 * len(hashes)).bit_length())
+    flips = np.bincount(((hashes * ODD[1]) >> U(16)).astype(np.int64) & (n_bits - 1), minlength=n_bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bitmap: np.ndarray, n_words: int) -> np.ndarray:
+    """The bitmap that as many fewer bits would have given."""
+    return np.bitwise_xor.reduce(bitmap.reshape(-1, n_words), axis=0)
+
+
 def needed_units(size: int, high: int, percent: int) -> int:
     return max_difference(size + min(high, size * 100 // percent), percent) + 1
 
 
-def keys(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """All index keys of a set, by its allocation in each of its bands."""
+def keys(hashes: np.ndarray, percent: int, frequent: np.ndarray | None = None) -> np.ndarray:
+    """All index keys of a set, by its allocation in each of its bands. frequent: sorted hashes."""
     n = len(hashes)
+    rare = np.ones(n, dtype=bool)
+    if frequent is not None and len(frequent):
+        rare = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] != hashes
     out = []
     for number, (low, high, m) in enumerate(bands(percent, _rounded(n))):
         if not low <= n <= high:
@@ -123,23 +155,52 @@ def keys(hashes: np.ndarray, percent: int) -> np.ndarray:
         order = np.argsort(segment, kind="stable")
         sorted_segments = segment[order]
         starts = np.flatnonzero(np.concatenate([[True], sorted_segments[1:] != sorted_segments[:-1]]))
-        sizes = np.diff(np.concatenate([starts, [n]]))
         parts = sorted_segments[starts]
         value = _mixed(mixed * ODD[0])[order]
         sums = np.add.reduceat(value, starts)
+        n_rare = np.add.reduceat(rare[order].astype(np.int64), starts)
         space = _mixed(parts.astype(U) * ODD[1] + salt)
-        out.append(_mixed(sums ^ space))
-        short = needed_units(n, high, percent) - len(parts)
+        whole = _mixed(sums ^ space)
+        keep = n_rare >= 1
+        out.append(whole[keep])
+        short = needed_units(n, high, percent) - int(keep.sum())
         if short > 0:
+            sizes = np.diff(np.concatenate([starts, [n]]))
             again = np.repeat(np.arange(len(parts)), sizes)
-            many = sizes[again] >= 2
-            out.append(_mixed((sums[again] - value)[many] ^ space[again][many]))
-            if short > int((sizes >= 2).sum()):
+            bought = n_rare[again] >= 2
+            out.append(_mixed((sums[again] - value)[bought] ^ space[again][bought]))
+            if short > int((n_rare >= 2).sum()):
                 empty = np.setdiff1d(np.arange(m), parts)
+                out.append(_mixed(whole[~keep] + ODD[3]))
                 out.append(_mixed(_mixed(empty.astype(U) * ODD[2] + salt) ^ ODD[3]))
     return np.concatenate(out) if out else np.empty(0, dtype=U)
 
 
+class Summary:
+    """Lower bounds of the document frequencies of the commonest hashes, in bounded memory (Misra-Gries, in batches)."""
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.hashes, self.counts = np.empty(0, dtype=U), np.empty(0, dtype=np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.n_waiting = 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.waiting.append(hashes)
+        self.n_waiting += len(hashes)
+        if self.n_waiting > 400_000:
+            self.settle()
+
+    def settle(self) -> None:
+        new, counts = np.unique(np.concatenate([self.hashes[:0], *self.waiting]), return_counts=True)
+        both, where = np.unique(np.concatenate([self.hashes, new]), return_inverse=True)
+        total = np.bincount(where, weights=np.concatenate([self.counts, counts]), minlength=len(both)).astype(np.int64)
+        if len(both) > self.size:
+            total -= np.partition(total, len(total) - self.size - 1)[len(total) - self.size - 1]
+        left = total > 0
+        self.hashes, self.counts, self.waiting, self.n_waiting = both[left], total[left], [], 0
+
+
 def _rounded(n: int) -> int:
     return 1 << max(4, n.bit_length())
 
@@ -149,21 +210,46 @@ def _ids(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sets(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", hashes: bool = False) -> DataFrame:
-    """(id, n, print) of every row: set size and 128-bit fingerprint, null for the empty set; or (id, hashes)."""
+    """(id, n, print, bits) of every row: set size, 128-bit fingerprint and bitmap, null for the empty set; or (id, hashes).
+
+    With fingerprints, each task adds a row of n -1 whose print packs its summary of frequent shingles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summary = Summary(FREQUENT)
         for rows in batches:
             found = (shingles(t.as_py(), width) for t in rows.column(1))
             if hashes:
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], names=["id", "hashes"])
             else:
-                both = [(len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None) for h in found]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([b[0] for b in both], pa.int64()), pa.array([b[1] for b in both], pa.binary())], names=["id", "n", "print"])
+                both = []
+                for h in found:
+                    summary.add(h)
+                    both.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), parity(h).tobytes()) if len(h) else (0, None, None))
+                yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array([b[i] for b in both], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary())))], names=["id", "n", "print", "bits"])
+        if not hashes:
+            summary.settle()
+            packed = np.stack([summary.hashes.view(np.int64), summary.counts]).T.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([packed], pa.binary()), pa.array([None], pa.binary())], names=["id", "n", "print", "bits"])
+
+    return _ids(df, id_col, text_col).mapInArrow(run, "id bigint, hashes array<bigint>" if hashes else "id bigint, n bigint, print binary, bits binary")
+
+
+def frequent_shingles(about: DataFrame) -> np.ndarray:
+    """The hashes, sorted, that most documents have: FREQUENT at most, each in LEAST documents at least."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for one in rows.column(0).to_pylist():
+                both = np.frombuffer(one, dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["hash", "n"])
 
-    return _ids(df, id_col, text_col).mapInArrow(run, "id bigint, hashes array<bigint>" if hashes else "id bigint, n bigint, print binary")
+    rows = about.filter("n = -1").select("print").mapInArrow(unpack, "hash bigint, n bigint")
+    top = rows.groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "hash").limit(FREQUENT).collect()
+    return np.sort(np.array([r["hash"] for r in top], dtype=np.int64).view(U))
 
 
-def index_rows(df: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def index_rows(df: DataFrame, width: int, percent: int, frequent: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, id) rows of all documents' allocations."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +262,7 @@ def index_rows(df: DataFrame, width: int, percent: int, id_col: str = "doc_id",
                 if mark in seen:
                     continue
                 seen.add(mark)
-                k = keys(h, percent)
+                k = keys(h, percent, frequent)
                 if len(k):
                     ids.append(np.full(len(k), own, dtype=np.int64))
                     found.append(k)
@@ -190,49 +276,134 @@ def index_rows(df: DataFrame, width: int, percent: int, id_col: str = "doc_id",
     return _ids(df, id_col, text_col).filter("id IS NOT NULL").mapInArrow(run, "key bigint, id bigint")
 
 
-def _verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that are similar, by their whole sets in known (id, hashes)."""
+def _passing(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (u, v) that sizes and bitmaps allow."""
+    a = about.select(F.col("id").alias("u"), F.col("n").alias("_na"), F.col("bits").alias("_a"))
+    b = about.select(F.col("id").alias("v"), F.col("n").alias("_nb"), F.col("bits").alias("_b"))
+    fit = (F.col("_na") * 100 >= F.col("_nb") * percent) & (F.col("_nb") * 100 >= F.col("_na") * percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            keep = []
+            for na, x, nb, y in zip(*(rows.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                x, y = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
+                words = min(len(x), len(y))
+                keep.append(int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) <= max_difference(na + nb, percent))
+            yield rows.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.distinct().join(a, "u").join(b, "v").filter(fit).select("u", "v", "_na", "_a", "_nb", "_b")
+    return both.mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def _verified(pairs: DataFrame, df: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (u, v) that are similar, by their whole sets, which are made again for their documents alone."""
+    pairs = stored(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    wanted = df.join(ids, df[id_col].cast("long") == ids["id"], "left_semi")
+    known = stored(sets(wanted, width, id_col, text_col, hashes=True), "hashes")
     a = known.select(F.col("id").alias("u"), F.col("hashes").alias("_a"))
     b = known.select(F.col("id").alias("v"), F.col("hashes").alias("_b"))
-    both = pairs.join(a, "u").join(b, "v")
     common = F.size(F.array_intersect("_a", "_b"))
     total = F.size("_a") + F.size("_b")
-    return both.withColumn("_common", common).filter((total > 0) & (F.col("_common") * 100 >= (total - F.col("_common")) * percent)).select("u", "v")
+    both = pairs.join(a, "u").join(b, "v").withColumn("_common", common)
+    return stored(both.filter((total > 0) & (F.col("_common") * 100 >= (total - F.col("_common")) * percent)).select("u", "v"), "links")
+
+
+def _across(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, bits: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, bits in which they differ) of the pairs of a block, in different components, that pass."""
+    some = []
+    for at in range(0, len(ids), 256):
+        part = slice(at, at + 256)
+        apart = np.zeros((len(ids[part]), len(ids)), dtype=np.int64)
+        for w in range(bits.shape[1]):
+            apart += np.bitwise_count(bits[part, w, None] ^ bits[None, :, w])
+        ok = apart <= (100 - percent) * (sizes[part, None] + sizes[None, :]) // (100 + percent)
+        ok &= (sizes[part, None] * 100 >= sizes[None, :] * percent) & (sizes[None, :] * 100 >= sizes[part, None] * percent)
+        ok &= (ids[part, None] > ids[None, :]) & (comps[part, None] != comps[None, :])
+        if side[0] >= 0:
+            ok &= side[part, None] != side[None, :]
+        i, j = np.nonzero(ok)
+        some.append((i + at, j, apart[i, j]))
+    return tuple(np.concatenate([s[k] for s in some]) for k in range(3))
+
+
+def _forest(comps: np.ndarray, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Which pairs to take so that they span what all of them would join, the most similar first."""
+    root = {int(c): int(c) for c in comps}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    taken = []
+    for k in np.argsort(apart, kind="stable"):
+        a, b = find(int(comps[i[k]])), find(int(comps[j[k]]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            taken.append(k)
+    return np.array(taken, dtype=np.int64)
+
+
+def _block_pairs(open_rows: DataFrame, about: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(u, v) of pairs across components that pass the bitmap filter, for open_rows (key, id, comp); a forest of them or all."""
+    tied = open_rows.groupBy("key").agg(F.min("id").alias("v")).join(open_rows.select("key", F.col("id").alias("u")), "key").select("u", "v")
+    cluster = components(tied)
+    every = open_rows.select("id", "comp").distinct().join(cluster, "id", "left").select("id", "comp", F.coalesce("component_id", "id").alias("cluster"))
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            numbers = [band_numbers(n, percent) for n in rows.column("n").to_pylist()]
+            again = pa.array(np.repeat(np.arange(len(numbers)), [len(x) for x in numbers]))
+            yield pa.RecordBatch.from_arrays([*(c.take(again) for c in rows.columns), pa.array([b for x in numbers for b in x], pa.int32())], names=[*rows.schema.names, "band"])
+
+    members = every.join(about.select("id", "n", "bits"), "id").select("cluster", "id", "comp", "n", "bits")
+    members = stored(members.mapInArrow(banded, "cluster bigint, id bigint, comp bigint, n bigint, bits binary, band int"), "members")
+    counts = members.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi")
+    placed = members.join(counts, ["cluster", "band"]).withColumn("pieces", F.ceil(F.col("_n") / BLOCK).cast("int")).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+    met = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
+    side = F.when(F.col("piece") == F.col("other"), -1).when(F.col("piece") < F.col("other"), 0).otherwise(1)
+    met = met.select("cluster", "band", F.least("piece", "other").alias("a"), F.greatest("piece", "other").alias("b"), side.alias("side"), "id", "comp", "n", "bits")
+    parts = int(open_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(parts, "cluster", "band", "a", "b").sortWithinPartitions("cluster", "band", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, 4):
+            side, ids, comps, sizes = (group.column(i).to_numpy() for i in range(4, 8))
+            maps = [np.frombuffer(x, dtype=U) for x in group.column(8).to_pylist()]
+            words = min(map(len, maps))
+            bits = np.array([folded(x, words) for x in maps])
+            i, j, apart = _across(ids, comps, sizes, bits, side, percent)
+            take = _forest(comps, i, j, apart) if forest else np.arange(len(i))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i[take]], pa.int64()), pa.array(ids[j[take]], pa.int64())], names=["u", "v"])
+
+    return met.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def near_groups(df: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row of df; links are all pairs with p % or more."""
-    about = stored(sets(df, width, id_col, text_col), "sets")
-    equal = about.filter("print IS NOT NULL AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    equal = about.join(equal, "print").filter("id <> v").select(F.col("id").alias("u"), "v")
+    both = stored(sets(df, width, id_col, text_col), "sets")
+    frequent = frequent_shingles(both)
+    about = both.filter("n >= 0")
+    full = about.filter("print IS NOT NULL AND id IS NOT NULL")
+    equal = full.groupBy("print").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    equal = full.join(equal, "print").filter("id <> v").select(F.col("id").alias("u"), "v")
     by_key = Window.partitionBy("key")
-    rows = index_rows(df, width, percent, id_col, text_col)
+    rows = index_rows(df, width, percent, frequent, id_col, text_col)
     shared = rows.withColumn("least", F.min("id").over(by_key)).withColumn("most", F.max("id").over(by_key)).filter("least < most")
     shared = stored(shared, "shared")
-    sizes = about.groupBy("id").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-
-    def allowed(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs that their sizes allow."""
-        a, b = sizes.toDF("u", "u_lo", "u_hi"), sizes.toDF("v", "v_lo", "v_hi")
-        fit = (F.col("u_hi") * 100 >= F.col("v_lo") * percent) & (F.col("v_hi") * 100 >= F.col("u_lo") * percent)
-        return pairs.distinct().join(a, "u").join(b, "v").filter(fit).select("u", "v")
-
-    stars = stored(allowed(shared.filter("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))), "stars")
-    ids = shared.select("id").distinct()
-    wanted = df.join(ids, df[id_col].cast("long") == ids["id"], "left_semi")
-    known = stored(sets(wanted, width, id_col, text_col, hashes=True), "hashes")
-    links = equal.unionByName(stored(_verified(stars, known, percent), "links"))
-    comp = components(links)
-    # What is left: keys whose documents are still in several components.
-    at = shared.join(comp, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("comp"))
-    several = at.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a < _b").select("key")
-    open_rows = stored(at.join(several, "key", "left_semi"), "open")
-    x, y = open_rows.toDF("key", "u", "cu"), open_rows.toDF("key", "v", "cv")
-    across = x.join(y, "key").filter("u > v AND cu <> cv").select("u", "v")
-    more = stored(_verified(allowed(across).join(stars, ["u", "v"], "left_anti"), known, percent), "more")
-    if not more.isEmpty():
-        comp = components(comp.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(more))
-    out = about.join(comp, "id", "left")
+    verify = lambda pairs: _verified(pairs, df, width, percent, id_col, text_col)
+    stars = shared.filter("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
+    links = equal.unionByName(verify(_passing(stars, full, percent)))
+    for forest in (True, False):
+        comp = stored(components(links), "components")
+        at = shared.join(comp, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("comp"))
+        several = at.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a < _b").select("key")
+        open_rows = stored(at.join(several, "key", "left_semi"), "open")
+        more = verify(_block_pairs(open_rows, full, percent, forest))
+        links = comp.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(more)
+    out = about.join(components(links), "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
