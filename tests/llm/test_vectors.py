@@ -1,0 +1,136 @@
+import math
+
+import numpy as np
+import pytest
+
+from graphloom.llm import pivots, topk
+from graphloom.llm.components import components
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, id string")
+
+
+def unit(rng, n, d):
+    x = rng.normal(size=(n, d))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def plain_links(x, threshold=0.95):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= threshold
+    np.fill_diagonal(link, False)
+    return link
+
+
+def plain_components(ids, link):
+    label = np.array(ids)
+    while True:
+        lower = np.minimum(label, np.where(link, label[None, :], np.iinfo(np.int64).max).min(axis=1))
+        if np.array_equal(lower, label):
+            return label
+        label = lower
+
+
+def copies(rng, seed, n, cos):
+    noise = unit(rng, n, len(seed))
+    noise -= (noise @ seed)[:, None] * seed
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    return cos * seed + math.sqrt(1 - cos * cos) * noise
+
+
+def test_near_duplicates(spark, monkeypatch):
+    """A group larger than a block, groups of all sizes, lone vectors; exact where the index finds the pair."""
+    monkeypatch.setattr(pivots, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([unit(rng, 150, 64), copies(rng, unit(rng, 1, 64)[0], 50, 0.99), *[copies(rng, s, 3, 0.985) for s in unit(rng, 20, 64)]])
+    x = (x * rng.uniform(0.1, 9, (len(x), 1))).astype(np.float32)
+    ids = rng.permutation(len(x)) * 7
+    got = {r["vec_id"]: r for r in pivots.near_duplicates(table(spark, [(int(i), [float(c) for c in v]) for i, v in zip(ids, x, strict=True)])).collect()}
+    order = np.argsort(ids)
+    link = plain_links(x.astype(float)[order])
+    labels = plain_components(ids[order], link)
+    assert link.sum() > 1500
+    for i, n, label in zip(ids[order], link.sum(axis=1), labels, strict=True):
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (n, label, label == i)
+
+
+def test_recall_at_the_threshold():
+    """Pairs of exactly the threshold's cosine, the hardest: at least 0.9 must meet in a list."""
+    rng = np.random.default_rng(4)
+    base = unit(rng, 3000, 64)
+    chosen = base[:256]
+    other = np.concatenate([copies(rng, s, 1, 0.95) for s in base])
+    a, b = (pivots._heads(v, chosen, pivots.PREFIX) for v in (base, other))
+    shared = (a[:, :, None] == b[:, None, :]).sum(axis=(1, 2))
+    assert (shared >= pivots.SHARED).mean() >= 0.95
+
+
+def test_recall_on_a_table(spark):
+    sf = "/root/testdata/sf0.1"
+    x = np.array([r["embedding"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()])
+    link = plain_links(x)
+    got = sorted(pivots.op1_embedding_dedup(spark, sf).collect())
+    assert sum(r["n_links"] for r in got) >= 0.99 * link.sum()
+    assert all(r["n_links"] <= n for r, n in zip(got, link.sum(axis=1), strict=True))
+
+
+BAD = [(90, None), (91, []), (92, [0.0, 0.0, 0.0]), (93, [float("nan"), 1.0, 0.0]), (94, [float("inf"), 0.0, 0.0]), (95, [None, 1.0, 0.0]), (96, [1.0, 0.0]), (97, [float("-inf"), 0.0, 0.0])]
+
+
+def test_odd_vectors(spark):
+    good = [(3, [1.0, 0.0, 0.0]), (1, [2.0, 0.1, 0.0]), (2, [0.0, 1.0, 0.0]), (5, [-1.0, 0.0, 0.0]), (7, [1.0, 0.0, 0.0])]
+    got = {r["vec_id"]: tuple(r)[1:] for r in pivots.near_duplicates(table(spark, good + BAD)).collect()}
+    assert got == {3: (2, 1, False), 1: (2, 1, True), 7: (2, 1, False), 2: (0, 2, True), 5: (0, 5, True)} | {i: (0, i, True) for i, _ in BAD}
+    assert pivots.near_duplicates(table(spark, [])).count() == 0
+    assert [tuple(r) for r in pivots.near_duplicates(table(spark, BAD[:3])).orderBy("vec_id").collect()] == [(i, 0, i, True) for i, _ in BAD[:3]]
+    one = pivots.near_duplicates(table(spark, [(4, [1.0, 2.0])])).collect()
+    assert [tuple(r) for r in one] == [(4, 0, 4, True)]
+
+
+def plain_top(rows, queries, k, scale=1024):
+    whole = {i: [math.floor(scale * float(np.float32(c))) for c in v] for i, v in rows}
+    out = []
+    for q in queries:
+        scores = sorted(((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q))[:k]
+        out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scores)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [50, 10_000])
+def test_top_k(spark, block):
+    rng = np.random.default_rng(block)
+    values = np.concatenate([rng.normal(0, 0.3, (300, 8)), np.repeat(rng.normal(0, 0.3, (3, 8)), 40, axis=0), rng.integers(-1, 2, (80, 8)) / 4, np.zeros((3, 8))])  # many ties
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(values)]
+    vectors = topk.quantised(table(spark, rows + [(i + 1000, v) for i, v in BAD]), 1024.0, "vec_id")
+    got = sorted(tuple(r) for r in topk.top_k(vectors, vectors.filter("id % 5 = 0"), 10, block).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == plain_top(rows, range(0, len(rows), 5), 10)
+
+
+def test_few_candidates(spark):
+    rows = [(0, [0.5, -0.25]), (100, [0.1, 0.1]), (7, [-3.0, 2.0])]
+    vectors = topk.quantised(table(spark, rows), 1024.0, "vec_id")
+    got = sorted(tuple(r) for r in topk.top_k(vectors, vectors.filter("id % 100 = 0"), 10).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == plain_top(rows, [0, 100], 10) and len(got) == 4
+    empty = topk.quantised(table(spark, []), 1024.0, "vec_id")
+    assert topk.top_k(empty, empty, 10).count() == 0
+    alone = topk.quantised(table(spark, [(0, [1.0])]), 1024.0, "vec_id")
+    assert topk.top_k(alone, alone, 10).count() == 0
+
+
+def test_slices_hold_large_numbers():
+    rng = np.random.default_rng(9)
+    for bits in (1, 12, 30):
+        v = rng.integers(-(2**bits), 2**bits + 1, (130, 6))
+        block = topk.SlicedBlock(np.arange(130), v)
+        for q in (0, 64, 129):
+            exact = [sum(int(a) * int(b) for a, b in zip(v[q], w, strict=True)) for w in v]
+            best = sorted(((-s, i) for i, s in enumerate(exact) if i != q))[:7]
+            assert sorted((-s, i) for i, s in block.top(v[q], q, 7)) == best
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(200, 100), (200, 150), (150, 100), (300, 300)] + [(500 + i, 500) for i in range(1, 80)] + [(500, 400)]
+    got = {r["id"]: r["component_id"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(1, 61)} | {150: 100, 200: 100} | {i: 400 for i in range(500, 580)}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
