@@ -32,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_topk": topk.ORACLE_SQL,
         "op8_chat": chat.ORACLE_SQL,
         "op9_mixing": mixing.ORACLE_SQL,
+        "op10_sharding": sharding.ORACLE_SQL,
     }

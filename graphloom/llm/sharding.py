@@ -98,3 +98,30 @@ def op10_sharding(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
     out = shard_rows(docs, "doc_id", Tree(n), ["text_crc32", "size"])
     grown = placed(out.withColumnRenamed("shard", "_at"), "doc_id", Tree(n + 1)).withColumnRenamed("shard", "grown_shard")
     return grown.select("doc_id", "size", "text_crc32", "law", F.col("_at").alias("shard"), "slot", "grown_shard")
+
+
+def _descent(tree: Tree, name: str) -> str:
+    """SQL for the shard of every row of b, as a column of that name."""
+    at = "SELECT doc_id, 0::BIGINT AS node FROM b"
+    for level, span, width in tree.levels():
+        weights = [tree.weight(i * span, span) for i in range(-(-tree.n // span))]
+        u = f"(('0x' || substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, 'null'), '{level}', j)), 1, 13))::BIGINT + 1) / {2**52 + 1}.0::DOUBLE"
+        draw = f"CASE WHEN j < {len(weights)} THEN {{'draw': -ln({u}) / {weights}[j + 1]::DOUBLE, 'child': j}} END"
+        draws = f"list_transform(range(node * {width}, node * {width} + {width}), lambda j: {draw})"
+        at = f"SELECT doc_id, list_min(list_filter({draws}, lambda d: d IS NOT NULL)).child AS node FROM ({at})"
+    return f"SELECT doc_id, node::INTEGER AS {name} FROM ({at})"
+
+
+ORACLE_SQL = f"""
+WITH t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+), b AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT + 16 AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+      lambda c, y: xor(c >> 8, crc[(xor(c, y) & 255) + 1])), 4294967295) AS text_crc32
+  FROM documents, t
+), s AS ({_descent(Tree(40), "shard")}), g AS ({_descent(Tree(41), "grown_shard")}), n AS (SELECT greatest(1, ceil(count(*) / {GROUP_ROWS * 40}.0))::BIGINT AS groups FROM documents)
+SELECT b.doc_id, size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY coalesce(b.doc_id, 0) % groups, b.doc_id, text_crc32, size) - 1 AS slot, grown_shard
+FROM b JOIN s ON b.doc_id IS NOT DISTINCT FROM s.doc_id JOIN g ON b.doc_id IS NOT DISTINCT FROM g.doc_id, n
+"""
