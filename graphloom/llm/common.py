@@ -85,3 +85,18 @@ def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBa
             last = key
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that a worker holds few texts as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Batches of whole texts that go to Python hold so many rows at most from now on in this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import short_batches, slices, table
 
 BITS = 14
 UNDETERMINED = "und"
@@ -72,6 +72,13 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(subwords(text), return_counts=True)
 
 
+def text_column(keep: list[str]) -> tuple[int, list[Column]]:
+    """(where the text is, the columns to read) so that the text travels once."""
+    if "text" in keep:
+        return keep.index("text"), [F.col(c) for c in keep]
+    return len(keep), [*(F.col(c) for c in keep), F.col("text").alias("_whole_text")]
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
@@ -207,19 +214,20 @@ def predict(docs: DataFrame, model: LangModel, keep: list[str] | None = None) ->
     """
     added = ["lang_pred", "score", "accepted"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    rows_in = docs.select(*keep, F.col("text").alias("_whole_text"))
+    text_at, read = text_column(keep)
+    short_batches(docs.sparkSession)
     send = (model.labels, model.scores.astype(np.float32), model.bias, model.temperature, model.threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = LangModel(*send)
-        for rows in batches:
-            found = [m.predict(t) for t in rows.column(len(keep)).to_pylist()]
+        for rows in slices(batches):
+            found = [m.predict(t) for t in rows.column(text_at).to_pylist()]
             accepted = [lang != UNDETERMINED and s >= m.threshold for lang, s in found]
             new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(accepted, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], *new], names=[*keep, *added])
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows_in.mapInArrow(run, f"{kept}, lang_pred string, score double, accepted boolean")
+    return docs.select(*read).mapInArrow(run, f"{kept}, lang_pred string, score double, accepted boolean")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import short_batches, table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words of each of two generations, and piece pairs, that a worker remembers. Results don't depend on it.
-WORDS_KEPT, PAIRS_KEPT = 300_000, 1_000_000
+WORDS_KEPT, PAIRS_KEPT = 150_000, 400_000
 #: No piece begins here at all; none shorter is left.
 NO_PIECE, NONE_LEFT = -2, -1
 #: Longer units are encoded without being remembered.
@@ -307,6 +307,7 @@ def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     outputs "ids" leaves decoded out and "digest" ids too, so that whole texts don't travel back.
     The model's bytes (half a megabyte) go with the function to the executors.
     """
+    short_batches(df.sparkSession)
     whole, with_ids = outputs == "all", outputs in ("all", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .language import is_held_out
+from .common import short_batches, slices, table
+from .language import is_held_out, text_column
 
 #: Character classes: 0 other, 1 blank, 2 line feed, 3 lower ASCII, 4 upper ASCII, 5 digit, 6 stop, 7 comma, 8 bracket or quote, 9 symbol, 10 lower beyond ASCII, 11 upper beyond ASCII, 12 other letter
 CLASSES = 13
@@ -192,7 +192,7 @@ def _sampled(docs: DataFrame, ids: DataFrame, n: int) -> np.ndarray:
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in slices(batches):
             found = [rates(t).astype(np.float32) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), pa.array(found, pa.list_(pa.float32()))], names=["doc_id", "rates"])
 
@@ -214,13 +214,16 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str] | None = None, t
     added = ["score", "predicted"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
 
+    text_at, read = text_column(keep)
+    short_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            s = model.scores(rows.column(len(keep)).to_pylist())
+        for rows in slices(batches):
+            s = model.scores(rows.column(text_at).to_pylist())
             yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*keep, *added])
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("_whole_text")).mapInArrow(run, f"{kept}, score double, predicted int")
+    return docs.select(*read).mapInArrow(run, f"{kept}, score double, predicted int")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
