@@ -51,15 +51,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import runs, stored, table
+from .common import runs, short_batches, slices, small, stored, table
 from .components import components
 
 U = np.uint64
 ODD = tuple(U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 #: Hashed words that a worker remembers.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 150_000
 #: Shingles that may count as frequent, and the documents that such a shingle is in at least.
 FREQUENT, LEAST = 4096, 100
+#: Ids, 8 bytes each, that may be broadcast to find their texts; if there are more, texts are shuffled.
+BROADCAST_IDS = 1_000_000
 #: Documents of a piece of a cluster; two pieces meet in a block.
 BLOCK = 1024
 
@@ -206,6 +208,7 @@ def _rounded(n: int) -> int:
 
 
 def _ids(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    short_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
 
 
@@ -217,7 +220,7 @@ def sets(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summary = Summary(FREQUENT)
-        for rows in batches:
+        for rows in slices(batches):
             found = (shingles(t.as_py(), width) for t in rows.column(1))
             if hashes:
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], names=["id", "hashes"])
@@ -254,7 +257,7 @@ def index_rows(df: DataFrame, width: int, percent: int, frequent: np.ndarray | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for rows in batches:
+        for rows in slices(batches):
             ids, found, total = [], [], 0
             for own, text in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
                 h = shingles(text.as_py(), width)
@@ -283,7 +286,7 @@ def _passing(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
     fit = (F.col("_na") * 100 >= F.col("_nb") * percent) & (F.col("_nb") * 100 >= F.col("_na") * percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in slices(batches, 2048):
             keep = []
             for na, x, nb, y in zip(*(rows.column(i).to_pylist() for i in range(2, 6)), strict=True):
                 x, y = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
@@ -299,7 +302,7 @@ def _verified(pairs: DataFrame, df: DataFrame, width: int, percent: int, id_col:
     """The pairs (u, v) that are similar, by their whole sets, which are made again for their documents alone."""
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    wanted = df.join(ids, df[id_col].cast("long") == ids["id"], "left_semi")
+    wanted = df.join(small(ids, ids.count(), BROADCAST_IDS), df[id_col].cast("long") == ids["id"], "left_semi")
     known = stored(sets(wanted, width, id_col, text_col, hashes=True), "hashes")
     a = known.select(F.col("id").alias("u"), F.col("hashes").alias("_a"))
     b = known.select(F.col("id").alias("v"), F.col("hashes").alias("_b"))
