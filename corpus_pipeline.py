@@ -26,13 +26,17 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at 80 %, the one of the least id.
+    """One row of each group that five-word shingles link at 80 %, the one of the least id; a null id is the greatest.
 
-    Documents without an id can't be told apart and all stay.
+    Rows are grouped by a number of their own, so ids may be null or occur again. Rows of one id are told
+    apart by a hash of all columns. Rows without a word are in no group and all stay.
     """
-    groups = jaccard.near_groups(docs, 5, 80)
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    marked = docs.withColumns({"_row": F.monotonically_increasing_id(), "_print": F.xxhash64(*docs.columns)})
+    rows = stored(marked, "rows")
+    groups = jaccard.near_groups(rows, 5, 80, id_col="_row").select("_row", "component_id")
+    ranked = groups.join(rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_print", "_row").alias("rank")), "_row")
+    kept = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,3 +106,24 @@ def test_registry_against_sql(spark):
 def test_names_and_parameters():
     assert sorted(registry.queries()) == sorted(f"op{i}_{n}" for i, n in enumerate(("embedding_dedup", "ngram_jaccard", "sentencepiece", "token_counts", "topk", "language_id", "quality", "chat", "mixing", "sharding"), 1))
     assert jaccard.op2_ngram_jaccard.__module__.startswith("graphloom.llm")
+
+
+def test_one_row_of_each_group_stays_without_ids_and_with_repeated_ids(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [
+        (None, "One text here.", "en", None, 3), (None, "One text here.", "en", "a", 3),  # copies without an id
+        (5, words, "en", "a", 1), (None, words, "en", "a", 1), (None, words + " more", "en", "a", 1),  # copies of a document with an id
+        (7, words + " end", "en", "a", 1), (7, other, "en", "a", 1),  # one id; only one text is a copy
+        (9, other + " end", "en", "b", 1), (3, "Two words.", "en", "a", 9), (3, "Two words.", "en", "a", 9),
+        (None, None, "en", "a", 0), (None, None, "en", "a", 0), (4, "", "en", "a", 0), (4, "", "en", "a", 0),  # without words: no groups
+    ]
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, df, SMALL)
+    assert kept.columns == df.columns
+    found = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert found == {(None, "One text here."): 1, (5, words): 1, (7, other): 1, (3, "Two words."): 1, (None, None): 2, (4, ""): 2}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), SMALL).count() == 0
+        stage(spark, df, SMALL).collect()
