@@ -2,8 +2,8 @@
 
 Messages become events: calls (id, name, arguments as JSON, ids of the calls that they depend on) and
 results (id of the call, content). Calls and results are joined by a hash of conversation and id. The
-first result of a call, in message order, is linked; calls without one, results without a call and
-ids that occur again are reported, not dropped.
+k-th result of an id, in message order, goes with the id's k-th call; calls without one, results without
+a call, results beyond the calls of their id and ids that occur again are reported, not dropped.
 
 Calls are ordered topologically inside a conversation. Calls whose dependencies all stand before them
 in message order already are in such an order, and nearly all conversations need no more. Only
@@ -16,7 +16,7 @@ parameters, unknown parameters, and the JSON type of each. Canonical JSON has so
 outside strings; the engine's variant type writes it.
 
 Null roles, texts, ids and arguments are allowed: a null argument text is invalid JSON, a null id never
-links. Empty tables give empty results. Repeated rows are repeated ids. Other columns of the input
+links, so that its results are orphans. Empty tables give empty results. Repeated rows are repeated ids. Other columns of the input
 are not read.
 """
 
@@ -45,12 +45,14 @@ def parse_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) of messages (conv_id, turn, role, text).
 
     An assistant's text of the form {"tool_calls": [{"id", "name", "arguments", "depends_on"}]} holds calls,
-    a tool's text {"tool_call_id", "content"} holds a result. Other messages hold neither.
+    a tool's text {"tool_call_id", "content"} holds a result, with either key alone too. Other messages hold neither.
     """
-    parsed = messages.filter(F.col("role").isin("assistant", "tool")).select("conv_id", "turn", "role", F.from_json("text", ENVELOPE).alias("m"))
+    keys = F.map_keys(_values("text"))
+    has = F.coalesce(F.array_contains(keys, "tool_call_id") | F.array_contains(keys, "content"), F.lit(False))
+    parsed = messages.filter(F.col("role").isin("assistant", "tool")).select("conv_id", "turn", "role", F.from_json("text", ENVELOPE).alias("m"), has.alias("_has"))
     calls = parsed.filter("role = 'assistant'").select("conv_id", "turn", F.posexplode("m.tool_calls").alias("pos", "c"))
     calls = calls.select("conv_id", "turn", "pos", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.coalesce("c.depends_on", F.array().cast("array<string>")).alias("depends_on"))
-    results = parsed.filter("role = 'tool' AND m.tool_call_id IS NOT NULL").select("conv_id", "turn", F.col("m.tool_call_id").alias("call_id"), F.col("m.content").alias("content"))
+    results = parsed.filter("role = 'tool' AND (m.tool_call_id IS NOT NULL OR m.content IS NOT NULL OR _has)").select("conv_id", "turn", F.col("m.tool_call_id").alias("call_id"), F.col("m.content").alias("content"))
     return calls, results
 
 
@@ -132,17 +134,19 @@ def topological(calls: DataFrame) -> DataFrame:
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """A row for each call, and for each result that has none: (conv_id, seq, call_id, name, status, problems, json).
+    """A row for each call, and for each result that none takes: (conv_id, seq, call_id, name, status, problems, json).
 
-    status: linked, unanswered, repeated (an id that an earlier call has), cyclic, or orphan (a result without a call).
+    status: linked, unanswered, repeated (an id that an earlier call has, or a result beyond the calls of its id),
+    cyclic, or orphan (a result without a call). A call of a repeated id has its own result, the id's k-th.
     """
     shared_dir(calls.sparkSession)
     calls = calls.withColumn("_arguments", _values("arguments"))
-    first = results.filter("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("_result"))
+    place = Window.partitionBy("conv_id", "call_id").orderBy("turn", "content")
+    ranked = results.filter("call_id IS NOT NULL").select("conv_id", "call_id", F.row_number().over(place).alias("_k"), F.struct("content").alias("_result"))
     ids = Window.partitionBy("conv_id", "call_id", F.when(F.col("call_id").isNull(), F.col("turn"))).orderBy("turn", "pos")
-    ordered = topological(calls).withColumn("_again", (F.row_number().over(ids) > 1) & F.col("call_id").isNotNull())
-    linked = ordered.join(first.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
-    answered = F.col("_result").isNotNull() & ~F.col("_again")
+    ordered = topological(calls).withColumn("_k", F.row_number().over(ids)).withColumn("_again", (F.col("_k") > 1) & F.col("call_id").isNotNull())
+    linked = ordered.join(ranked.hint("shuffle_hash"), ["conv_id", "call_id", "_k"], "left")
+    answered = F.col("_result").isNotNull()
     status = F.when(F.col("_again"), "repeated").when(F.col("cyclic"), "cyclic").when(answered, "linked").otherwise("unanswered")
     null = F.lit("null")
     text = F.concat(
@@ -154,10 +158,13 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
         F.lit("}"),
     )
     out = linked.select("conv_id", F.col("seq").cast("long").alias("seq"), "call_id", "name", status.alias("status"), F.array_join(_problems(schemas), "; ").alias("problems"), text.alias("json"))
-    orphans = first.join(calls.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-    left = F.concat(F.lit('{"id":'), _quoted(F.col("call_id")), F.lit(',"result":'), F.coalesce(_quoted(F.col("_result.content")), null), F.lit("}"))
+    per_id = calls.filter("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("_n"))
+    beyond = ranked.join(per_id, ["conv_id", "call_id"], "left").filter("_n IS NULL OR _k > _n")
+    beyond = beyond.select("conv_id", "call_id", "_result", F.when(F.col("_n").isNull(), "orphan").otherwise("repeated").alias("status"))
+    nameless = results.filter("call_id IS NULL").select("conv_id", "call_id", F.struct("content").alias("_result"), F.lit("orphan").alias("status"))
+    left = F.concat(F.lit('{"id":'), F.coalesce(_quoted(F.col("call_id")), null), F.lit(',"result":'), F.coalesce(_quoted(F.col("_result.content")), null), F.lit("}"))
     nothing = F.lit(None).cast("string")
-    return out.unionByName(orphans.select("conv_id", F.lit(None).cast("long").alias("seq"), "call_id", nothing.alias("name"), F.lit("orphan").alias("status"), F.lit("").alias("problems"), left.alias("json")))
+    return out.unionByName(beyond.unionByName(nameless).select("conv_id", F.lit(None).cast("long").alias("seq"), "call_id", nothing.alias("name"), "status", F.lit("").alias("problems"), left.alias("json")))
 
 
 def _values(col: str) -> Column:

@@ -260,3 +260,19 @@ def test_chat_small_cases(spark):
     rows = chat.link(*chat.turns_as_calls(df), chat.REPLY).collect()
     assert Counter(r["status"] for r in rows) == {"linked": 1, "repeated": 1, "orphan": 1, "unanswered": 2}
     assert sorted(r["seq"] for r in rows if r["conv_id"] == 2 and r["seq"] is not None) == [0, 1]
+
+
+def test_no_result_is_lost(spark):
+    rows = linked(spark, [
+        message(1, 0, "assistant", {"tool_calls": [call("call_0")]}), message(1, 1, "tool", {"tool_call_id": "call_0", "content": "first"}),
+        message(1, 2, "assistant", {"tool_calls": [call("call_0")]}), message(1, 3, "tool", {"tool_call_id": "call_0", "content": "second"}),
+        message(1, 4, "tool", {"tool_call_id": "call_0", "content": "third"}), message(1, 5, "tool", {"tool_call_id": "call_0", "content": "third"}),
+        message(1, 6, "tool", {"tool_call_id": "lost", "content": "a"}), message(1, 7, "tool", {"tool_call_id": "lost", "content": "b"}),
+        message(1, 8, "tool", {"tool_call_id": None, "content": "c"}), message(1, 9, "tool", {"content": "c"}), message(1, 10, "tool", {"tool_call_id": None}),
+        message(1, 11, "assistant", {"tool_calls": [call(None)]}), message(1, 12, "tool", "no json"), message(1, 13, "tool", "[1]"),
+    ])
+    got = Counter((r["seq"], r["call_id"], r["status"], json.loads(r["json"])["result"]) for r in rows)
+    assert got == {
+        (0, "call_0", "linked", "first"): 1, (1, "call_0", "repeated", "second"): 1, (None, "call_0", "repeated", "third"): 2, (None, "lost", "orphan", "a"): 1, (None, "lost", "orphan", "b"): 1,
+        (None, None, "orphan", "c"): 2, (None, None, "orphan", None): 1, (2, None, "unanswered", None): 1,
+    }
