@@ -59,7 +59,8 @@ def parse_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Plain conversations as calls and results: each user turn asks the tool ``reply``, with the turn's text
     and number as arguments, and depends on the user turn two before it if the turn between is an answer;
-    an assistant's turn is the result for the turn before it. One row for each message, no window.
+    an assistant's turn is the result for the turn before it. One row for each message of these two roles, no
+    window; messages of any other role (system turns), or of none, are neither and are left out.
     """
     id_of = lambda turn: F.concat_ws("-", F.lit("call"), F.col("conv_id"), turn)
     arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")))
