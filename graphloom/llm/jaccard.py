@@ -30,7 +30,7 @@ many. What passes is verified exactly and joined to components. Keys whose docum
 components then form clusters, whose documents are compared by bitmap in blocks, inside a band; a block gives a
 spanning forest of the components that it could join, a row for a document at most. Those are verified, and after
 them the few pairs across components that still pass the bitmap filter: all of them, so no link between
-different texts is lost, while a group of near copies costs rows in proportion to its size. Equal sets are tied by a 128-bit fingerprint before, and a
+different texts that would join components is lost, while a group of near copies costs rows in proportion to its size. Equal sets are tied by a 128-bit fingerprint before, and a
 task indexes a set that it meets again only once.
 
 Null and empty texts have the empty set and link with nothing; texts with fewer words than a shingle have
@@ -385,7 +385,10 @@ def _block_pairs(open_rows: DataFrame, about: DataFrame, percent: int, forest: b
 
 
 def near_groups(df: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for every row of df; links are all pairs with p % or more."""
+    """(id, n_shingles, component_id) for every row of df: the components of all pairs with p % or more.
+
+    The pairs themselves, and how many a document has, are not found: those inside a component are skipped.
+    """
     both = stored(sets(df, width, id_col, text_col), "sets")
     frequent = frequent_shingles(both)
     about = both.filter("n >= 0")
