@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digests of ids and of the decoded text."""
+    """Token ids of every document, with the digests of ids and of the decoded text; the text itself is not in the output."""
     return pieces.encode(docs, pieces.default_model(), outputs="ids")
 
 
