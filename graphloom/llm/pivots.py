@@ -13,8 +13,8 @@ vector with a link, (links counted here, least vector linked here directly or th
 written out. Components come from those rows.
 
 The index misses links whose vectors share fewer pivots; recall is measured in the tests and in the README.
-No pair below the threshold is linked. Vectors that are null, zero, empty, hold a null or non-finite
-component, or have another length than most vectors link with nothing and are their own component. Rows that
+No pair below the threshold is linked. Vectors that are null, zero, empty, or hold a null or non-finite
+component link with nothing and are their own component. Each length has an index of its own. Rows that
 repeat an id are one vector with several values: its links are those of all of them.
 """
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -171,9 +172,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     """(id, n_links, component_id, kept) for every row of df."""
     good = usable(df.filter(F.col(id_col).isNotNull()), vec_col).filter(F.exists(vec_col, lambda x: x != 0))
     vectors = good.select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
-    dims = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    vectors = vectors.filter(F.size("v") == (dims["d"] if dims else 0))
-    found = linked(vectors, threshold)
+    lengths = [r["d"] for r in vectors.groupBy(F.size("v").alias("d")).count().filter("count > 1").orderBy("d").collect()]
+    found = reduce(DataFrame.unionByName, [linked(vectors.filter(F.size("v") == d), threshold) for d in lengths or [0]])
     counts = found.groupBy("id").agg(F.sum("links").alias("n_links"))
     comp = components(found.select(F.col("id").alias("u"), F.col("label").alias("v")))
     own = F.col(id_col)

@@ -134,3 +134,9 @@ def test_components(spark):
     got = {r["id"]: r["component_id"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {150: 100, 200: 100} | {i: 400 for i in range(500, 580)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_duplicates_of_every_length(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [2.0, 0.0, 0.0]), (4, [0.0, 1.0]), (5, [0.0, 3.0]), (6, [1.0, 0.0]), (7, [1.0])]
+    got = {r["vec_id"]: tuple(r)[1:] for r in pivots.near_duplicates(table(spark, rows)).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (1, 4, True), 5: (1, 4, False), 6: (0, 6, True), 7: (0, 7, True)}
