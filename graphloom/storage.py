@@ -7,15 +7,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-#: Temporary folders by application.
+#: Temporary folders by application, and the paths that each application has stored.
 _own: dict[str, str] = {}
+_paths: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and driver and executors are one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
@@ -23,8 +26,35 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet and read again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df written once as Parquet and read again: lineage ends here, and the copy outlives executors."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what ``stored`` wrote for df, once nothing that is still to run reads it."""
+    path = df._stored_at
+    _delete(df.sparkSession, path)
+    _paths[df.sparkSession.sparkContext.applicationId].remove(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that this application has stored; its DataFrames can't be read afterwards."""
+    for path in _paths.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
