@@ -27,7 +27,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import stored, table
 
 #: JSON type names that a schema may ask for, with the first letters that such a value can have.
 FIRST_LETTERS = {"string": '"', "number": "-0123456789", "integer": "-0123456789", "boolean": "tf", "array": "[", "object": "{", "null": "n"}
@@ -104,17 +104,17 @@ def topological(calls: DataFrame) -> DataFrame:
     deps = calls.select("conv_id", F.col("call_id").alias("_from"), position.alias("_at"), F.explode(F.array_distinct("depends_on")).alias("_to"))
     firsts = calls.filter("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(position).alias("_to_at"))
     edges = deps.join(firsts, (deps["conv_id"] == firsts["conv_id"]) & (deps["_to"] == firsts["call_id"])).select(deps["conv_id"], "_from", "_to", "_at", "_to_at")
-    hard = edges.filter("_to_at >= _at").select("conv_id").distinct().checkpoint()
+    hard = stored(edges.filter("_to_at >= _at").select("conv_id").distinct(), "hard")
     late = None
     if not hard.isEmpty():
-        edges = edges.join(hard, "conv_id", "left_semi").select("conv_id", "_from", "_to").distinct().checkpoint()
-        left = firsts.join(hard, "conv_id", "left_semi").select("conv_id", F.col("call_id").alias("_id"), F.lit(None).cast("int").alias("depth")).checkpoint()
+        edges = stored(edges.join(hard, "conv_id", "left_semi").select("conv_id", "_from", "_to").distinct(), "edges")
+        left = stored(firsts.join(hard, "conv_id", "left_semi").select("conv_id", F.col("call_id").alias("_id"), F.lit(None).cast("int").alias("depth")), "left")
         depth = 0
         while True:
             open_ = left.filter("depth IS NULL").select("conv_id", "_id")
             waits = edges.join(open_.withColumnRenamed("_id", "_to"), ["conv_id", "_to"], "left_semi").select("conv_id", F.col("_from").alias("_id")).distinct()
             ready = open_.join(waits, ["conv_id", "_id"], "left_anti").withColumn("_now", F.lit(depth))
-            new = left.join(ready, ["conv_id", "_id"], "left").select("conv_id", "_id", F.coalesce("depth", "_now").alias("depth")).checkpoint()
+            new = stored(left.join(ready, ["conv_id", "_id"], "left").select("conv_id", "_id", F.coalesce("depth", "_now").alias("depth")), "left")
             if new.filter(F.col("depth") == depth).isEmpty():
                 break
             left, depth = new, depth + 1
@@ -140,7 +140,6 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     status: linked, unanswered, repeated (an id that an earlier call has, or a result beyond the calls of its id),
     cyclic, or orphan (a result without a call). A call of a repeated id has its own result, the id's k-th.
     """
-    shared_dir(calls.sparkSession)
     calls = calls.withColumn("_arguments", _values("arguments"))
     place = Window.partitionBy("conv_id", "call_id").orderBy("turn", "content")
     ranked = results.filter("call_id IS NOT NULL").select("conv_id", "call_id", F.row_number().over(place).alias("_k"), F.struct("content").alias("_result"))

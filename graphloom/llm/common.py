@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import clear, discard, scratch, stored
+
+__all__ = ["WORD", "clear", "discard", "draw52", "few", "least_hashes", "row_hash", "runs", "scratch", "short_batches", "slices", "small", "stored", "table", "unused", "within", "word_count"]
+
 #: A word, in the sense of every contract here: a run without ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,36 +21,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 20_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests on one machine) a temporary folder is made.
-    """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = sc._jsc.sc().getCheckpointDir().get() if sc._jsc.sc().getCheckpointDir().isDefined() else None
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="shared-")
-        sc.setCheckpointDir(path)
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(path)
-    return path
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder as Parquet and read again: lineage ends here, and the copy outlives executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the limit, else as it is."""
     return F.broadcast(df) if rows <= limit else df
@@ -95,8 +68,84 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     pa.default_memory_pool().release_unused()
 
 
+#: The setting that bounds the rows of a batch.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Batches of whole texts that go to Python hold so many rows at most from now on in this session."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
-        spark.conf.set(name, str(rows))
+    """Batches that go to Python hold so many rows at most from now on in this session.
+
+    Only operators that return whole texts' scores or tokens lazily call this: their job runs after they
+    have returned, and Spark has no narrower place for the setting. It is only ever lowered.
+    """
+    if not 0 < int(spark.conf.get(BATCH, "10000")) <= rows:
+        spark.conf.set(BATCH, str(rows))
+
+
+@contextmanager
+def few(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Inside, batches that go to Python hold so many rows at most; the caller's setting comes back."""
+    before = spark.conf.get(BATCH, None)
+    short_batches(spark, rows)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH)
+        else:
+            spark.conf.set(BATCH, before)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, with as many underscores before it as make it differ from all of columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Bits of a row's hash.
+HASH_BITS = 53
+
+
+def row_hash(*columns: str) -> Column:
+    """A hash of HASH_BITS bits, as long: equal rows have equal ones."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 64 - HASH_BITS)
+
+
+def _map_key(column: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit(""))
+
+
+def within(limits: Mapping[str | None, int], group: str, h: str) -> Column:
+    """Whether a row's hash is within its group's limit."""
+    if not limits:
+        return F.lit(False)
+    limit = F.create_map(*[F.lit(x) for g, b in limits.items() for x in ("" if g is None else f"={g}", b)])
+    return F.coalesce(F.col(h) <= F.try_element_at(limit, _map_key(group)), F.lit(False))
+
+
+def least_hashes(rows: DataFrame, counts: Mapping[str | None, int], quota: int) -> dict[str | None, int]:
+    """By group, the hash up to which (inclusive) rows (group, h) belong to its ``quota`` least distinct hashes.
+
+    counts has each group's rows, an upper bound of its distinct ones. Hashes are uniform, so a share of the
+    rows that is expected to hold 2 quota + 30 of them holds the least ones; only those reach the driver. A group in which copies
+    make that share hold too few is asked again with four times the share.
+    """
+    out: dict[str | None, int] = {}
+    share = {g: min(1.0, (2 * quota + 30) / max(1, n)) for g, n in counts.items()}
+    while share:
+        below = {g: int(s * 2**HASH_BITS) for g, s in share.items()}
+        limit = F.create_map(*[F.lit(x) for g, b in below.items() for x in ("" if g is None else f"={g}", b)])
+        found = rows.filter(F.col("h") < F.try_element_at(limit, _map_key("group"))).distinct().collect()
+        got: dict[str | None, list[int]] = {g: [] for g in share}
+        for r in found:
+            got[r["group"]].append(r["h"])
+        for g, hashes in got.items():
+            if len(hashes) < quota and share[g] < 1:
+                share[g] = min(1.0, share[g] * 4)
+                continue
+            del share[g]
+            if hashes:
+                out[g] = sorted(hashes)[:quota][-1]
+    return out

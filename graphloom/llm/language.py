@@ -23,9 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import short_batches, slices, table
+from .common import few, least_hashes, row_hash, short_batches, slices, table, within
 
 BITS = 14
 UNDETERMINED = "und"
@@ -124,68 +123,97 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def sample_bags(docs: DataFrame, params: LangParams) -> list[tuple[str, int, list[int], list[int]]]:
-    """(lang, part, buckets, counts) of the sampled rows: as many of each language, chosen by hash of the id.
+@dataclass
+class Bags:
+    """Sampled bags of subwords, in flat arrays: bag i has the buckets and counts from starts[i] to starts[i + 1]."""
+
+    lang: list[str]
+    turn: np.ndarray
+    starts: np.ndarray
+    buckets: np.ndarray
+    counts: np.ndarray
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets, shares) of a bag."""
+        part = slice(self.starts[i], self.starts[i + 1])
+        return self.buckets[part], self.counts[part] / self.counts[part].sum()
+
+
+BAG = "lang string, h bigint, part int, buckets array<int>, counts array<int>"
+
 
-    Only ids and languages are sorted for the choice; the few chosen ids then fetch their texts.
+def sample_bags(docs: DataFrame, params: LangParams) -> Bags:
+    """Bags of the sampled rows and of their spans: as many rows of each language, those of the least hashes of id and text.
+
+    Rows equal in both count once, so the bound holds for repeated ids and copies too. No language meets in one
+    task: the hash up to which a language's rows are taken is found from a counted share of them (``least_hashes``).
+    At most ``params.rows`` languages are learned, the commonest.
     """
-    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    n = known.select("lang").distinct().count()
-    if not n:
-        return []
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.select("doc_id", "lang").withColumn("turn", turn).filter(F.col("turn") <= max(1, params.rows // n)).select("doc_id", "turn")
-    chosen = known.select("doc_id", "lang", "text").join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id")
+    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", row_hash("doc_id", "text").alias("h"), "text")
+    counts = {r["lang"]: r["count"] for r in docs.filter("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.rows).collect()}
+    limits = least_hashes(known.select(F.col("lang").alias("group"), "h"), counts, max(1, params.rows // max(1, len(counts)))) if counts else {}
+    chosen = known.filter(within(limits, "lang", "h")).dropDuplicates(["lang", "h"])
     spans, seed = params.spans, params.seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            out = {"lang": [], "turn": [], "doc_id": [], "part": [], "buckets": [], "counts": []}
-            for doc_id, lang, text, turn in zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True):
+        for rows in slices(batches):
+            out = {"lang": [], "h": [], "part": [], "buckets": [], "counts": []}
+            for lang, h, text in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
                 words = text.split()
-                rng = np.random.default_rng([seed, zlib.crc32(str(doc_id).encode())])
+                rng = np.random.default_rng([seed, h & 0xFFFFFFFF, h >> 32])
                 texts = [text]
                 for size in spans:
                     at = int(rng.integers(max(1, len(words) - size)))
                     texts.append(" ".join(words[at : at + size]))
                 for part, t in enumerate(texts):
-                    buckets, counts = bag(t)
-                    for k, v in (("lang", lang), ("turn", turn), ("doc_id", str(doc_id)), ("part", part), ("buckets", buckets.astype(np.int32)), ("counts", counts.astype(np.int32))):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("lang", pa.string()), ("turn", pa.int32()), ("doc_id", pa.string()), ("part", pa.int32()), ("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]))
-
-    got = chosen.mapInArrow(run, "lang string, turn int, doc_id string, part int, buckets array<int>, counts array<int>").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["lang"], r["turn"], r["doc_id"], r["part"]))
-    return [(r["lang"], r["turn"], r["buckets"], r["counts"]) for r in got if r["buckets"]]
-
-
-def fit(bags: list[tuple[str, int, list[int], list[int]]], params: LangParams) -> LangModel:
-    """Trains on the sampled bags; every fifth turn of a language is kept for calibration."""
-    labels = sorted({b[0] for b in bags})
+                    buckets, n = bag(t)
+                    if buckets.size:
+                        for k, v in (("lang", lang), ("h", h), ("part", part), ("buckets", buckets.astype(np.int32)), ("counts", n.astype(np.int32))):
+                            out[k].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("lang", pa.string()), ("h", pa.int64()), ("part", pa.int32()), ("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]))
+
+    with few(docs.sparkSession):
+        got = chosen.mapInArrow(run, BAG).toArrow()
+    got = got.sort_by([("lang", "ascending"), ("h", "ascending"), ("part", "ascending")]).combine_chunks()
+    lang, h = got.column("lang").to_pylist(), got.column("h").to_numpy()
+    first = np.array([i == 0 or lang[i] != lang[i - 1] for i in range(len(lang))], dtype=bool)
+    new = first | np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
+    row = np.cumsum(new)
+    turn = row - np.maximum.accumulate(np.where(first, row, 0)) + 1 if len(h) else row
+    flat = [np.concatenate([np.empty(0, np.int32), *(c.flatten().to_numpy() for c in got.column(k).chunks)]) for k in ("buckets", "counts")]
+    sizes = np.concatenate([np.empty(0, np.int32), *(c.value_lengths().to_numpy() for c in got.column("buckets").chunks)])
+    return Bags(lang, turn, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), *flat)
+
+
+def fit(bags: Bags, params: LangParams) -> LangModel:
+    """Trains on the sampled bags; every fifth sampled row of a language is kept for calibration."""
+    labels = sorted(set(bags.lang))
     if not labels:
         return LangModel([], np.zeros((1 << BITS, 0)), np.zeros(0))
     rng = np.random.default_rng(params.seed)
-    data = [(labels.index(lang), turn, np.asarray(k), np.asarray(c) / np.sum(c)) for lang, turn, k, c in bags]
-    train = [d for d in data if d[1] % 5 or len(data) < 20]
-    held = [d for d in data if d[1] % 5 == 0] or data
+    number = {lang: k for k, lang in enumerate(labels)}
+    y = np.array([number[lang] for lang in bags.lang])
+    every = np.arange(len(y))
+    train = every[bags.turn % 5 != 0] if len(y) >= 20 else every
+    held = every[bags.turn % 5 == 0] if (bags.turn % 5 == 0).any() else every
     emb = rng.normal(0, 0.1, (1 << BITS, params.dims))
     out, bias = rng.normal(0, 0.1, (params.dims, len(labels))), np.zeros(len(labels))
     steps, step = params.epochs * len(train), 0
     for _ in range(params.epochs):
-        for i in rng.permutation(len(train)):
-            y, _, buckets, share = train[i]
+        for i in train[rng.permutation(len(train))]:
+            buckets, share = bags[i]
             rate = params.rate * (1 - step / steps)
             step += 1
             h = share @ emb[buckets]
             g = _softmax(h @ out + bias)
-            g[y] -= 1
+            g[y[i]] -= 1
             back = out @ g
             out -= rate * np.outer(h, g)
             bias -= rate * 0.1 * g
             emb[buckets] -= (rate * 20) * np.outer(share, back)
     model = LangModel(labels, emb @ out, bias)
-    z = np.array([share @ model.scores[b] + bias for _, _, b, share in held])
-    y = np.array([d[0] for d in held])
+    z = np.array([share @ model.scores[b] + bias for b, share in map(bags.__getitem__, held)])
+    y = y[held]
     grid = np.geomspace(0.2, 5, 60)
     loss = [-np.mean(np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12)) for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
@@ -207,13 +235,13 @@ def train(docs: DataFrame, params: LangParams = LangParams()) -> LangModel:
     return fit(sample_bags(docs.filter(~is_held_out(F.col("doc_id"), 4, 2)), params), params)
 
 
-def predict(docs: DataFrame, model: LangModel, keep: list[str] | None = None) -> DataFrame:
-    """docs' columns (or those to keep) with lang_pred, score and accepted, in place of any of those names.
+def predict(docs: DataFrame, model: LangModel, keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
+    """docs' columns (or those to keep) with the predicted language, its probability and whether it is accepted.
 
-    One pass over whole texts, no shuffle; the text column is all that a prediction sees.
+    names are the new columns' names; docs' own columns of those names don't come back, so callers that need
+    them give others. One pass over whole texts, no shuffle; the text column is all that a prediction sees.
     """
-    added = ["lang_pred", "score", "accepted"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     text_at, read = text_column(keep)
     short_batches(docs.sparkSession)
     send = (model.labels, model.scores.astype(np.float32), model.bias, model.temperature, model.threshold)
@@ -224,10 +252,10 @@ def predict(docs: DataFrame, model: LangModel, keep: list[str] | None = None) ->
             found = [m.predict(t) for t in rows.column(text_at).to_pylist()]
             accepted = [lang != UNDETERMINED and s >= m.threshold for lang, s in found]
             new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(accepted, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], *new], names=[*keep, *added])
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], *new], names=[*keep, *names])
 
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*read).mapInArrow(run, f"{kept}, lang_pred string, score double, accepted boolean")
+    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return docs.select(*read).mapInArrow(run, f"{kept}`{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import short_batches, slices, table
+from .common import few, least_hashes, row_hash, short_batches, slices, table, within
 from .language import is_held_out, text_column
 
 #: Character classes: 0 other, 1 blank, 2 line feed, 3 lower ASCII, 4 upper ASCII, 5 digit, 6 stop, 7 comma, 8 bracket or quote, 9 symbol, 10 lower beyond ASCII, 11 upper beyond ASCII, 12 other letter
@@ -126,6 +126,19 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def risk_gradient(zp: np.ndarray, zu: np.ndarray, prior: float) -> np.ndarray:
+    """The step's gradient by the margins of positive and of unlabelled texts.
+
+    Logistic losses: as positive log(1 + exp(-z)), as negative log(1 + exp(z)). While the negative part of the risk is not
+    below 0 it is the gradient of the whole risk; else that of the negative part with its sign turned.
+    """
+    n_p, n_u = len(zp), len(zu)
+    negative = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
+    as_neg = np.concatenate([-prior * _sigmoid(zp) / n_p, _sigmoid(zu) / n_u])
+    as_pos = np.concatenate([prior * (_sigmoid(zp) - 1) / n_p, np.zeros(n_u)])
+    return as_pos + as_neg if negative >= 0 else -as_neg
+
+
 def _train(pos: np.ndarray, unl: np.ndarray, prior: float | None, params: QualityParams) -> tuple:
     """The layers after Adam steps on the non-negative risk, or, without a prior, on telling pos from unl."""
     rng = np.random.default_rng(params.seed)
@@ -143,14 +156,7 @@ def _train(pos: np.ndarray, unl: np.ndarray, prior: float | None, params: Qualit
             z = h @ w[2] + w[3]
             s = _sigmoid(z)
             zp, zu, n_p, n_u = z[: len(p)], z[len(p) :], len(p), len(u)
-            if prior is None:
-                g = np.concatenate([(s[:n_p] - 1) / n_p, s[n_p:] / n_u])
-            else:
-                # Logistic losses: as positive log(1 + exp(-z)), as negative log(1 + exp(z)).
-                negative = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
-                as_neg = np.concatenate([-prior * s[:n_p] / n_p, s[n_p:] / n_u])
-                as_pos = np.concatenate([prior * (s[:n_p] - 1) / n_p, np.zeros(n_u)])
-                g = as_pos + as_neg if negative >= 0 else -as_neg
+            g = np.concatenate([(s[:n_p] - 1) / n_p, s[n_p:] / n_u]) if prior is None else risk_gradient(zp, zu, prior)
             back = np.outer(g, w[2]) * (1 - h * h)
             grads = [x.T @ back, back.sum(axis=0), h.T @ g, np.array([g.sum()])]
             t += 1
@@ -186,44 +192,60 @@ def fit(pos: np.ndarray, unl: np.ndarray, params: QualityParams = QualityParams(
     return QualityModel(mean, scale, _train(p, u, prior, params), prior)
 
 
-def _sampled(docs: DataFrame, ids: DataFrame, n: int) -> np.ndarray:
-    """Rates of the n texts of ids (doc_id) whose hash is least, in that order; ids are chosen before texts are read."""
-    chosen = ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+def _sampled(docs: DataFrame, n: int, n_rows: int) -> np.ndarray:
+    """Rates of the n rows of docs (doc_id, text) whose hash of id and text is least, in that order; rows equal in both count once.
+
+    n_rows is docs' number of rows or more. Hashes are chosen before rates are taken, so no more than n rows' rates reach the driver.
+    """
+    hashed = docs.select(row_hash("doc_id", "text").alias("h"), "text", F.lit(None).cast("string").alias("group"))
+    limits = least_hashes(hashed.select("group", "h"), {None: n_rows}, n) if n_rows else {}
+    chosen = hashed.filter(within(limits, "group", "h")).select("h", "text").dropDuplicates(["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             found = [rates(t).astype(np.float32) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), pa.array(found, pa.list_(pa.float32()))], names=["doc_id", "rates"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.float32()))], names=["h", "rates"])
 
-    got = sorted(rows.mapInArrow(run, "doc_id string, rates array<float>").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["rates"]))
-    return np.array([r["rates"] for r in got], dtype=float).reshape(-1, N_RATES)
+    with few(docs.sparkSession):
+        got = chosen.mapInArrow(run, "h bigint, rates array<float>").toArrow().sort_by("h")
+    flat = [c.flatten().to_numpy() for c in got.column("rates").chunks]
+    return np.concatenate([np.empty(0, np.float32), *flat]).astype(float).reshape(-1, N_RATES)
 
 
 def train(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> QualityModel:
-    """Learns from the labels outside the held-out fifth, and from unlabelled texts outside it."""
+    """Learns from the labels outside the held-out fifth, and from unlabelled texts outside it.
+
+    Of the ids with a positive label, those of the params.rows least hashes are looked up among docs, so what is
+    broadcast has that bound; of the rows found (an id may have many) as many are taken again.
+    """
     learn = ~is_held_out(F.col("doc_id"), 5, 0)
-    positive = labels.filter(learn & (F.col("quality") == 1))
-    pos = _sampled(docs, positive, params.rows)
-    unl = _sampled(docs, docs.filter(learn & F.col("doc_id").isNotNull()), params.rows)
+    positive = labels.filter(learn & (F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id", row_hash("doc_id").alias("h"), F.lit(None).cast("string").alias("group"))
+    n_positive = positive.count()
+    limits = least_hashes(positive.select("group", "h"), {None: n_positive}, params.rows) if n_positive else {}
+    ids = positive.filter(within(limits, "group", "h")).select("doc_id").distinct()
+    trusted = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    pos = _sampled(trusted, params.rows, trusted.select("doc_id").count())
+    others = docs.filter(learn & F.col("doc_id").isNotNull()).select("doc_id", "text")
+    unl = _sampled(others, params.rows, others.select("doc_id").count())
     return fit(pos, unl, params)
 
 
-def score(docs: DataFrame, model: QualityModel, keep: list[str] | None = None, threshold: float = QualityParams.threshold) -> DataFrame:
-    """docs' columns (or those to keep) with score and predicted; one pass over whole texts, no shuffle."""
-    added = ["score", "predicted"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
+def score(docs: DataFrame, model: QualityModel, keep: list[str] | None = None, threshold: float = QualityParams.threshold, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs' columns (or those to keep) with the score and the prediction; one pass over whole texts, no shuffle.
 
+    names are the new columns' names; docs' own columns of those names don't come back, so callers that need them give others.
+    """
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     text_at, read = text_column(keep)
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
             s = model.scores(rows.column(text_at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*keep, *added])
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*keep, *names])
 
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*read).mapInArrow(run, f"{kept}, score double, predicted int")
+    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return docs.select(*read).mapInArrow(run, f"{kept}`{names[0]}` double, `{names[1]}` int")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,3 +130,130 @@ def test_held_out_accuracy_on_documents(spark):
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = [r for r in quality.op7_quality(spark, sf).collect() if r["held_out"] and truth.get(r["doc_id"]) is not None]
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in rows]) >= 0.95
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """Many rows of one id, equal and different ones: no more rows are sampled than the bound says."""
+    rng = random.Random(12)
+    base = [text(rng, "aa", 6) for _ in range(300)]
+    rows = [(7, base[i % 300] + f" {i % 3000}", "aa") for i in range(6000)] + [(i, text(rng, "bb", 8), "bb") for i in range(100, 160)] + [(8, "der die und", "bb")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    bags = language.sample_bags(df, language.LangParams(rows=100, spans=(3,)))
+    assert bags.lang.count("aa") <= 100 and 40 <= bags.lang.count("bb") <= 100 and bags.lang.count("aa") >= 90
+    assert max(t for lang, t in zip(bags.lang, bags.turn, strict=True) if lang == "aa") == 50
+    again = language.sample_bags(df.repartition(2), language.LangParams(rows=100, spans=(3,)))
+    assert again.lang == bags.lang and np.array_equal(again.buckets, bags.buckets) and np.array_equal(again.turn, bags.turn)
+    assert len(quality._sampled(df, 80, 6560)) == 80 and len(quality._sampled(df.limit(0), 80, 0)) == 0
+    assert len(quality._sampled(df.filter("doc_id = 8"), 80, 500)) == 1
+
+
+def plain_subwords(text):
+    """Buckets of one- to three-letter subwords, letter by letter."""
+    mask, m = 2**64 - 1, [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
+    chars = [0]
+    for c in [ord(c) if c.isalpha() else 0 for c in text.lower()] + [0]:
+        if c or chars[-1]:
+            chars.append(c)
+    raw = [c * m[0] for c in chars if c]
+    raw += [(a * m[0] + b * m[1] & mask) ^ 0x5851F42D4C957F2D for a, b in zip(chars, chars[1:])]
+    raw += [(a * m[0] + b * m[1] + c * m[2] & mask) ^ 0x14057B7EF767814F for a, b, c in zip(chars, chars[1:], chars[2:]) if b]
+    return [((h & mask ^ (h & mask) >> 29) * 0xBF58476D1CE4E5B9 & mask) >> 64 - language.BITS for h in raw] if len(chars) > 1 else []
+
+
+def plain_language(model, text):
+    """The average of the subwords' rows, one after the other, and a softmax."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    z = [float(b) for b in model.bias]
+    ids = plain_subwords(text)
+    for i in ids:
+        z = [a + float(s) / len(ids) for a, s in zip(z, model.scores[i], strict=True)]
+    e = [np.exp((a - max(z)) / model.temperature) for a in z]
+    return model.labels[int(np.argmax(z))], max(e) / sum(e)
+
+
+def test_language_against_a_plain_version(spark):
+    """The whole query against a letter-by-letter version of the prediction, under the query's own model."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.train(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = language.op6_language_id(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        lang, p = plain_language(model, texts[r["doc_id"]])
+        assert r["lang_pred"] == lang and abs(r["score"] - p) < 1e-5 and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+    for odd in ("", "a", "Aß é", "1 2", "x" * 50, "İstanbul ǅ"):
+        assert sorted(plain_subwords(odd)) == sorted(language.subwords(odd).tolist())
+
+
+def plain_rates(text):
+    """The described rates, counted one by one."""
+    if not text:
+        return [0.0] * quality.N_RATES
+    k = quality.CLASSES
+    classes = [quality._class_of(c) for c in text]
+    single, pairs = [0] * k, [0] * (k * k)
+    for c in classes:
+        single[c] += 1
+    for a, b in zip(classes, classes[1:]):
+        pairs[a * k + b] += 1
+    out = [(n / len(classes)) ** 0.5 for n in single + pairs]
+    words = text.split()
+    if not words:
+        return out + [0.0] * 14
+    seen = {w: words.count(w) for w in set(words)}
+    lines = [x for x in text.split("\n") if x.strip()]
+    out += [len(seen) / len(words), np.log(len(seen) + 1) / np.log(len(words) + 1), len({w.casefold() for w in seen}) / len(seen), sum(sorted(seen.values())[-3:]) / len(words)]
+    out += [sum(words[i] == words[i + d] for i in range(len(words) - d)) / len(words) for d in (1, 2, 3, 4)]
+    out += [sum(len(w) for w in words) / len(words) / 10, np.log1p(len(words)) / 10, len(lines) / len(words), 1 - len(set(lines)) / len(lines) if lines else 0.0]
+    return out + [len({w[-1] for w in seen}) / 10, sum(n for w, n in seen.items() if len(w) > 1 and w.isupper()) / len(words)]
+
+
+def test_quality_against_a_plain_version(spark):
+    """The whole query against rates counted one by one and the layers applied to them, under the query's own model."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    a, b, c, d = model.layers
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = quality.op7_quality(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        x = [min(8.0, max(-8.0, (v - m) / s)) for v, m, s in zip(plain_rates(texts[r["doc_id"]]), model.mean, model.scale, strict=True)]
+        hidden = [np.tanh(sum(v * w for v, w in zip(x, a[:, j], strict=True)) + b[j]) for j in range(a.shape[1])]
+        p = 1 / (1 + np.exp(-(sum(v * w for v, w in zip(hidden, c, strict=True)) + d)))
+        assert abs(r["score"] - p) < 1e-6 and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_risk_gradient_against_differences():
+    """The step's gradient is that of the plainly written risk, or against its negative part where that is below 0."""
+
+    def risk(zp, zu, prior):
+        pos = prior * np.mean([np.log(1 + np.exp(-z)) for z in zp])
+        return pos, np.mean([np.log(1 + np.exp(z)) for z in zu]) - prior * np.mean([np.log(1 + np.exp(z)) for z in zp])
+
+    rng = np.random.default_rng(3)
+    seen = set()
+    for shift, prior in ((0.0, 0.4), (-4.0, 0.9)):
+        zp, zu = rng.normal(2, 1, 5), rng.normal(shift, 1, 7)
+        got, z = quality.risk_gradient(zp, zu, prior), np.concatenate([zp, zu])
+        below = risk(zp, zu, prior)[1] < 0
+        seen.add(bool(below))
+        for i in range(len(z)):
+            step = np.zeros(len(z))
+            step[i] = 1e-6
+            up, down = (risk((z + s)[:5], (z + s)[5:], prior) for s in (step, -step))
+            slope = -(up[1] - down[1]) / 2e-6 if below else (sum(up) - sum(down)) / 2e-6
+            assert abs(slope - got[i]) < 1e-6
+    assert seen == {True, False}
+
+
+def test_clashing_names_are_left_alone(spark):
+    """Other names can be given for what is added, so that columns of those names stay."""
+    df = spark.createDataFrame([(1, "der die das", "aa", 0.25, "mine")], "doc_id long, text string, lang string, score double, accepted string")
+    model = language.train(df, language.LangParams(epochs=1))
+    got = language.predict(df, model, names=("_l", "_s", "_a")).first()
+    assert (got["score"], got["accepted"], got["_l"]) == (0.25, "mine", "aa")
+    empty = quality.QualityModel(np.zeros(quality.N_RATES), np.ones(quality.N_RATES), None)
+    assert quality.score(df, empty, names=("_s", "_p")).first()["score"] == 0.25
