@@ -10,19 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import jaccard, language, mixing, pieces, quality
-from graphloom.llm.common import stored, table
+from graphloom.llm.common import stored, table, unused
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier accepts."""
-    marked = language.predict(docs, language.train(docs))
-    return marked.filter("accepted").select(*docs.columns)
+    names = [unused(n, docs.columns) for n in ("lang_pred", "score", "accepted")]
+    return language.predict(docs, language.train(docs), names=names).filter(F.col(names[2])).select(*docs.columns)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of predicted quality 1."""
-    marked = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
-    return marked.filter("predicted = 1").select(*docs.columns)
+    names = [unused(n, docs.columns) for n in ("score", "predicted")]
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")), names=names).filter(F.col(names[1]) == 1).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
