@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..storage import clear, discard, scratch, stored
 
-__all__ = ["WORD", "clear", "discard", "draw52", "few", "least_hashes", "row_hash", "runs", "scratch", "short_batches", "slices", "small", "stored", "table", "unused", "within", "word_count"]
+__all__ = ["WORD", "clear", "discard", "draw52", "few", "least_hashes", "maybe_in", "narrowed", "row_hash", "runs", "scratch", "short_batches", "slices", "small", "stored", "table", "unused", "within", "word_count"]
 
 #: A word, in the sense of every contract here: a run without ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -108,6 +108,28 @@ def unused(name: str, columns: list[str]) -> str:
 HASH_BITS = 53
 
 
+#: Bits of the filter of ``narrowed``: at most 2 ** (FILTER_BITS - 6) words of 8 bytes, whatever the input's size.
+FILTER_BITS = 24
+
+
+def maybe_in(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """df with a boolean column ``_maybe``: true for every row whose long id occurs in ids (id), and by chance for some others.
+
+    A filter of a bit for each hash value, of fixed size, is formed where the ids are and broadcast. The more ids there are,
+    the more other rows pass; nothing but that depends on their number.
+    """
+    at = lambda c: F.shiftrightunsigned(F.xxhash64(F.col(c).cast("long")), 64 - FILTER_BITS)
+    bit = F.expr("shiftleft(1L, cast(_at & 63L as int))")
+    words = ids.select(at("id").alias("_at")).select(F.shiftright("_at", 6).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = df.withColumn("_at", at(column)).withColumn("_here", F.shiftright("_at", 6)).join(F.broadcast(words), F.col("_here") == F.col("_word"), "left")
+    return marked.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_at", "_here", "_word", "_bits")
+
+
+def narrowed(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose long id occurs in ids (id), and by chance some others; df is not shuffled."""
+    return maybe_in(df, column, ids).filter("_maybe").drop("_maybe")
+
+
 def row_hash(*columns: str) -> Column:
     """A hash of HASH_BITS bits, as long: equal rows have equal ones."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 64 - HASH_BITS)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _toward_least(edges: DataFrame) -> DataFrame:
@@ -32,8 +32,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return others.unionByName(least.select("u", F.col("m").alias("v")))
 
 
+#: Edges of one file at least, so that few edges make few tasks.
+EDGES = 200_000
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component_id) for each vertex of edges (u, v) that isn't the least of its component."""
+    """(id, component_id) for each vertex of edges (u, v) that isn't the least of its component. Each round's edges replace the last one's."""
     edges = stored(_toward_least(edges), "edges")
     mark = None
     while True:
@@ -41,4 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
         if done == mark or not done[0]:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
         mark = done
-        edges = stored(_toward_least(_small_star(_toward_least(_large_star(edges)))), "edges")
+        new = _toward_least(_small_star(_toward_least(_large_star(edges))))
+        new = stored(new.coalesce(-(-done[0] // EDGES)), "edges")
+        discard(edges)
+        edges = new

@@ -23,15 +23,18 @@ document indexes the subset too; and if that document needs no neighbourhoods, t
 allocation. Two documents of the last kind share all segments. m is the least number of segments whose
 expected non-empty ones cover the need of a document at the upper end of its band.
 
-Candidates are never written out as all pairs of a key. A key's documents are first tied to the least of them, a
-row for each. Before any pair is verified by whole sets, a parity bitmap rules out what it can: each element flips
-one bit, so the bits in which two bitmaps differ are at most the elements in which the sets do, and nearly as
-many. What passes is verified exactly and joined to components. Keys whose documents are still in several
-components then form clusters, whose documents are compared by bitmap in blocks, inside a band; a block gives a
-spanning forest of the components that it could join, a row for a document at most. Those are verified, and after
-them the few pairs across components that still pass the bitmap filter: all of them, so no link between
-different texts that would join components is lost, while a group of near copies costs rows in proportion to its size. Equal sets are tied by a 128-bit fingerprint before, and a
-task indexes a set that it meets again only once.
+Candidates are never written out as all pairs of a key. Keys with the same documents say the same, so only the distinct
+sets of documents that share a key are kept, as groups; equal sets of shingles, tied by a 128-bit fingerprint, count as one document
+from there on. A group's documents are first tied to the least of them, a row for each. Before sets are compared, a parity bitmap
+rules out what it can: each element flips one bit, so the bits in which two bitmaps differ are at most the elements in
+which the sets do, and nearly as many. What passes is verified exactly and joined to components. Groups whose documents are
+still in several components are then compared in blocks: by bitmap, which leaves the documents that pass with one of another component,
+and those by their whole sets; a block gives a spanning forest of the true links across its components, a row for a
+document at most. So no link between different texts that would join components is lost, and no pair that isn't a link is
+written but one for each document of a group. Groups are compared by themselves; that one document is in several groups ties nothing.
+
+Whole texts are never shuffled: the documents to verify are picked by a broadcast filter of fixed size, their sets made again and
+joined by id. A task indexes a set that it meets again only once.
 
 Null and empty texts have the empty set and link with nothing; texts with fewer words than a shingle have
 one shingle, all their words. Rows without an id have a set size, no links and no component. Rows that repeat an id are one document
@@ -51,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import runs, short_batches, slices, small, stored, table
+from .common import discard, few, narrowed, runs, slices, stored, table
 from .components import components
 
 U = np.uint64
@@ -60,10 +63,10 @@ ODD = tuple(U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133
 WORDS_KEPT = 150_000
 #: Shingles that may count as frequent, and the documents that such a shingle is in at least.
 FREQUENT, LEAST = 4096, 100
-#: Ids, 8 bytes each, that may be broadcast to find their texts; if there are more, texts are shuffled.
-BROADCAST_IDS = 1_000_000
-#: Documents of a piece of a cluster; two pieces meet in a block.
-BLOCK = 1024
+#: Documents of a piece of a group; two pieces meet in a block.
+BLOCK = 512
+#: Rows with whole sets or bitmaps that reach Python at once.
+SET_ROWS = 250
 
 
 class _Hashes(dict):
@@ -208,12 +211,11 @@ def _rounded(n: int) -> int:
 
 
 def _ids(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    short_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
 
 
-def sets(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", hashes: bool = False) -> DataFrame:
-    """(id, n, print, bits) of every row: set size, 128-bit fingerprint and bitmap, null for the empty set; or (id, hashes).
+def sets(texts: DataFrame, width: int, hashes: bool = False) -> DataFrame:
+    """(id, n, print, bits) of every row of texts (id, text as binary): set size, 128-bit fingerprint and bitmap, null for the empty set; or (id, hashes).
 
     With fingerprints, each task adds a row of n -1 whose print packs its summary of frequent shingles.
     """
@@ -235,7 +237,7 @@ def sets(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "tex
             packed = np.stack([summary.hashes.view(np.int64), summary.counts]).T.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([packed], pa.binary()), pa.array([None], pa.binary())], names=["id", "n", "print", "bits"])
 
-    return _ids(df, id_col, text_col).mapInArrow(run, "id bigint, hashes array<bigint>" if hashes else "id bigint, n bigint, print binary, bits binary")
+    return texts.mapInArrow(run, "id bigint, hashes array<bigint>" if hashes else "id bigint, n bigint, print binary, bits binary")
 
 
 def frequent_shingles(about: DataFrame) -> np.ndarray:
@@ -252,8 +254,8 @@ def frequent_shingles(about: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["hash"] for r in top], dtype=np.int64).view(U))
 
 
-def index_rows(df: DataFrame, width: int, percent: int, frequent: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, id) rows of all documents' allocations."""
+def index_rows(texts: DataFrame, width: int, percent: int, frequent: np.ndarray | None = None) -> DataFrame:
+    """(key, id) rows of all documents' allocations, for texts (id, text as binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -276,7 +278,18 @@ def index_rows(df: DataFrame, width: int, percent: int, frequent: np.ndarray | N
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "id"])
 
-    return _ids(df, id_col, text_col).filter("id IS NOT NULL").mapInArrow(run, "key bigint, id bigint")
+    return texts.filter("id IS NOT NULL").mapInArrow(run, "key bigint, id bigint")
+
+
+def shared_groups(rows: DataFrame) -> DataFrame:
+    """(g1, g2, id): the distinct sets of two ids or more that share a key in rows (key, id), each named by 128 bits of a digest."""
+    by_key = Window.partitionBy("key")
+    shared = rows.withColumn("least", F.min("id").over(by_key)).withColumn("most", F.max("id").over(by_key)).filter("least < most")
+    halves = [f(F.xxhash64("id", F.lit(k))) for k in (1, 2) for f in (lambda h: F.shiftrightunsigned(h, 32), lambda h: h.bitwiseAND(0xFFFFFFFF))]
+    digest = [F.col("least"), F.col("most"), F.count(F.lit(1)).over(by_key), *[F.sum(h).over(by_key) for h in halves]]
+    digest = shared.select("id", *[d.alias(f"d{i}") for i, d in enumerate(digest)])
+    names = [f"d{i}" for i in range(7)]
+    return digest.select(F.xxhash64(*names).alias("g1"), F.xxhash64(F.lit(1), *reversed(names)).alias("g2"), "id").distinct()
 
 
 def _passing(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
@@ -298,18 +311,26 @@ def _passing(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def _verified(pairs: DataFrame, df: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (u, v) that are similar, by their whole sets, which are made again for their documents alone."""
-    pairs = stored(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    wanted = df.join(small(ids, ids.count(), BROADCAST_IDS), df[id_col].cast("long") == ids["id"], "left_semi")
-    known = stored(sets(wanted, width, id_col, text_col, hashes=True), "hashes")
+def _known(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(id, hashes) of the documents of ids (id), and by chance of some others, made again from their texts."""
+    with few(texts.sparkSession):
+        return stored(sets(narrowed(texts, "id", ids), width, hashes=True), "hashes")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (u, v) that are similar, by their whole sets."""
+    with few(texts.sparkSession):
+        pairs = stored(pairs, "pairs")
+    known = _known(pairs.select(F.explode(F.array("u", "v")).alias("id")), texts, width)
     a = known.select(F.col("id").alias("u"), F.col("hashes").alias("_a"))
     b = known.select(F.col("id").alias("v"), F.col("hashes").alias("_b"))
     common = F.size(F.array_intersect("_a", "_b"))
     total = F.size("_a") + F.size("_b")
     both = pairs.join(a, "u").join(b, "v").withColumn("_common", common)
-    return stored(both.filter((total > 0) & (F.col("_common") * 100 >= (total - F.col("_common")) * percent)).select("u", "v"), "links")
+    out = stored(both.filter((total > 0) & (F.col("_common") * 100 >= (total - F.col("_common")) * percent)).select("u", "v"), "links")
+    discard(known)
+    discard(pairs)
+    return out
 
 
 def _across(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, bits: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -330,8 +351,8 @@ def _across(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, bits: np.ndar
     return tuple(np.concatenate([s[k] for s in some]) for k in range(3))
 
 
-def _forest(comps: np.ndarray, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
-    """Which pairs to take so that they span what all of them would join, the most similar first."""
+def _forest(comps: np.ndarray, i: np.ndarray, j: np.ndarray, apart: np.ndarray, hashes: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs are links that span what all links would join; the likeliest are tried first, and none inside what is joined."""
     root = {int(c): int(c) for c in comps}
 
     def find(c: int) -> int:
@@ -344,44 +365,63 @@ def _forest(comps: np.ndarray, i: np.ndarray, j: np.ndarray, apart: np.ndarray)
     for k in np.argsort(apart, kind="stable"):
         a, b = find(int(comps[i[k]])), find(int(comps[j[k]]))
         if a != b:
-            root[max(a, b)] = min(a, b)
-            taken.append(k)
+            x, y = hashes[i[k]], hashes[j[k]]
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if common * 100 >= percent * (len(x) + len(y) - common):
+                root[max(a, b)] = min(a, b)
+                taken.append(k)
     return np.array(taken, dtype=np.int64)
 
 
-def _block_pairs(open_rows: DataFrame, about: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """(u, v) of pairs across components that pass the bitmap filter, for open_rows (key, id, comp); a forest of them or all."""
-    tied = open_rows.groupBy("key").agg(F.min("id").alias("v")).join(open_rows.select("key", F.col("id").alias("u")), "key").select("u", "v")
-    cluster = components(tied)
-    every = open_rows.select("id", "comp").distinct().join(cluster, "id", "left").select("id", "comp", F.coalesce("component_id", "id").alias("cluster"))
+PLACE = ["g1", "g2", "a", "b"]
 
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            numbers = [band_numbers(n, percent) for n in rows.column("n").to_pylist()]
-            again = pa.array(np.repeat(np.arange(len(numbers)), [len(x) for x in numbers]))
-            yield pa.RecordBatch.from_arrays([*(c.take(again) for c in rows.columns), pa.array([b for x in numbers for b in x], pa.int32())], names=[*rows.schema.names, "band"])
-
-    members = every.join(about.select("id", "n", "bits"), "id").select("cluster", "id", "comp", "n", "bits")
-    members = stored(members.mapInArrow(banded, "cluster bigint, id bigint, comp bigint, n bigint, bits binary, band int"), "members")
-    counts = members.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi")
-    placed = members.join(counts, ["cluster", "band"]).withColumn("pieces", F.ceil(F.col("_n") / BLOCK).cast("int")).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """rows, dealt by block and sorted so that a block's rows stand together."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *PLACE).sortWithinPartitions(*PLACE)
+
+
+def _links_across(at: DataFrame, about: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v): for groups at (g1, g2, id, comp), links that join what all links across components would join."""
+    spark = at.sparkSession
+    several = at.groupBy("g1", "g2").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("pieces")).filter("_lo < _hi").drop("_lo", "_hi")
+    placed = at.join(several, ["g1", "g2"]).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
     met = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
     side = F.when(F.col("piece") == F.col("other"), -1).when(F.col("piece") < F.col("other"), 0).otherwise(1)
-    met = met.select("cluster", "band", F.least("piece", "other").alias("a"), F.greatest("piece", "other").alias("b"), side.alias("side"), "id", "comp", "n", "bits")
-    parts = int(open_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = met.repartition(parts, "cluster", "band", "a", "b").sortWithinPartitions("cluster", "band", "a", "b")
+    met = met.select("g1", "g2", F.least("piece", "other").alias("a"), F.greatest("piece", "other").alias("b"), side.alias("side"), "id", "comp")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, 4):
             side, ids, comps, sizes = (group.column(i).to_numpy() for i in range(4, 8))
             maps = [np.frombuffer(x, dtype=U) for x in group.column(8).to_pylist()]
             words = min(map(len, maps))
-            bits = np.array([folded(x, words) for x in maps])
-            i, j, apart = _across(ids, comps, sizes, bits, side, percent)
-            take = _forest(comps, i, j, apart) if forest else np.arange(len(i))
+            i, j, _ = _across(ids, comps, sizes, np.array([folded(x, words) for x in maps]), side, percent)
+            yield group.select(range(7)).take(pa.array(np.unique(np.concatenate([i, j]))))
+
+    def by_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, 4):
+            side, ids, comps = (group.column(i).to_numpy() for i in range(4, 7))
+            lists = group.column(7)
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(U)
+            hashes = [flat[s:e] for s, e in zip(ends, ends[1:])]
+            maps = [parity(h) for h in hashes]
+            words = min(map(len, maps))
+            i, j, apart = _across(ids, comps, np.array([len(h) for h in hashes]), np.array([folded(x, words) for x in maps]), side, percent)
+            take = _forest(comps, i, j, apart, hashes, percent)
             yield pa.RecordBatch.from_arrays([pa.array(ids[i[take]], pa.int64()), pa.array(ids[j[take]], pa.int64())], names=["u", "v"])
 
-    return met.mapInArrow(run, "u bigint, v bigint").distinct()
+    row = "g1 bigint, g2 bigint, a int, b int, side int, id bigint, comp bigint"
+    rows = _in_blocks(met.join(about.select("id", "n", "bits"), "id").select(*PLACE, "side", "id", "comp", "n", "bits"))
+    with few(spark, SET_ROWS):
+        passed = stored(rows.mapInArrow(by_bitmap, row), "passed")
+    known = _known(passed.select("id"), texts, width)
+    rows = _in_blocks(passed.join(known, "id").select(*PLACE, "side", "id", "comp", "hashes"))
+    with few(spark, SET_ROWS):
+        out = stored(rows.mapInArrow(by_set, "u bigint, v bigint").distinct(), "links")
+    discard(known)
+    discard(passed)
+    return out
 
 
 def near_groups(df: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -389,27 +429,31 @@ def near_groups(df: DataFrame, width: int, percent: int, id_col: str = "doc_id",
 
     The pairs themselves, and how many a document has, are not found: those inside a component are skipped.
     """
-    both = stored(sets(df, width, id_col, text_col), "sets")
+    spark = df.sparkSession
+    texts = _ids(df, id_col, text_col)
+    with few(spark):
+        both = stored(sets(texts, width), "sets")
     frequent = frequent_shingles(both)
     about = both.filter("n >= 0")
     full = about.filter("print IS NOT NULL AND id IS NOT NULL")
-    equal = full.groupBy("print").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    equal = full.join(equal, "print").filter("id <> v").select(F.col("id").alias("u"), "v")
-    by_key = Window.partitionBy("key")
-    rows = index_rows(df, width, percent, frequent, id_col, text_col)
-    shared = rows.withColumn("least", F.min("id").over(by_key)).withColumn("most", F.max("id").over(by_key)).filter("least < most")
-    shared = stored(shared, "shared")
-    verify = lambda pairs: _verified(pairs, df, width, percent, id_col, text_col)
-    stars = shared.filter("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
-    links = equal.unionByName(verify(_passing(stars, full, percent)))
-    for forest in (True, False):
-        comp = stored(components(links), "components")
-        at = shared.join(comp, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("comp"))
-        several = at.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a < _b").select("key")
-        open_rows = stored(at.join(several, "key", "left_semi"), "open")
-        more = verify(_block_pairs(open_rows, full, percent, forest))
-        links = comp.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(more)
-    out = about.join(components(links), "id", "left")
+    # Stored before it is joined, so that the planner can split a fingerprint that very many documents have.
+    firsts = stored(full.groupBy("print").agg(F.min("id").alias("v"), F.max("id").alias("_most")).filter("v < _most").select("print", "v"), "firsts")
+    ties = stored(full.select("print", "id").join(firsts, "print").filter("id <> v").select(F.col("id").alias("u"), "v").distinct(), "ties")
+    with few(spark):
+        named = stored(shared_groups(index_rows(texts, width, percent, frequent)), "groups")
+    # An id that also has another set keeps its own name in the groups.
+    of = full.select(F.col("id").alias("u"), "print").join(ties, "u").groupBy("u", "v").agg(F.min("print").alias("_lo"), F.max("print").alias("_hi")).filter("_lo = _hi").select("u", "v")
+    groups = stored(named.join(of, named["id"] == of["u"], "left").select("g1", "g2", F.coalesce("v", "id").alias("id")).distinct(), "groups")
+    discard(named)
+    near = stored(narrowed(full.select("id", "n", "bits"), "id", groups.select("id")).dropDuplicates(["id", "bits"]), "near")
+    least = groups.groupBy("g1", "g2").agg(F.min("id").alias("v"))
+    stars = groups.join(least, ["g1", "g2"]).filter("id <> v").select(F.col("id").alias("u"), "v")
+    links = _verified(_passing(stars, near, percent), texts, width, percent)
+    comp = components(links)
+    at = groups.join(comp, "id", "left").select("g1", "g2", "id", F.coalesce("component_id", "id").alias("comp"))
+    more = _links_across(at, near, texts, width, percent)
+    comp = components(ties.unionByName(links).unionByName(more))
+    out = about.join(comp, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 

@@ -147,3 +147,31 @@ def test_small_cases(spark):
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [None, None]
     long = " ".join(str(i) for i in range(60_000))
     assert result(spark.createDataFrame([(2, long), (1, long + " end"), (3, long[: len(long) // 2])], schema), 4, 85) == {1: (59_998, 1), 2: (59_997, 1), 3: (jaccard.shingles(long[: len(long) // 2].encode(), 4).size, 3)}
+
+
+def test_an_id_with_several_sets(spark):
+    """One text of id 7 equals that of 5, the other is near that of 9: all three are one component."""
+    first, second = (" ".join(f"{w}{i}" for i in range(80)) for w in ("a", "b"))
+    rows = [(5, first), (7, first), (7, second), (9, second + " end"), (3, "alone with a few words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.near_groups(df, 4, 85).collect()} == {(5, 5), (7, 5), (9, 5), (3, 3)}
+
+
+def test_groups_of_keys_collapse(spark):
+    """Keys with the same ids are one group, whatever their number; others stay apart."""
+    rows = [(k, i) for k in range(50) for i in (1, 2, 3)] + [(100, 1), (100, 2), (101, 4), (102, 2), (102, 1), (103, 2), (103, 3)]
+    got = jaccard.shared_groups(spark.createDataFrame(rows, "key long, id long").repartition(4)).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r["g1"], r["g2"]), []).append(r["id"])
+    assert sorted(map(sorted, groups.values())) == [[1, 2], [1, 2, 3], [2, 3]]
+
+
+def test_narrowed_keeps_all(spark):
+    from graphloom.llm.common import maybe_in, narrowed
+
+    df = spark.range(-2000, 2000).selectExpr("id as doc", "'x' as id")
+    ids = spark.range(-2000, 2000, 7)
+    kept = {r["doc"] for r in narrowed(df, "doc", ids).collect()}
+    assert set(range(-2000, 2000, 7)) <= kept and len(kept) < 700
+    assert maybe_in(df, "doc", ids.limit(0)).filter("_maybe").count() == 0
