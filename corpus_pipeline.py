@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import jaccard, language, mixing, pieces, quality
-from graphloom.llm.common import stored, table, unused
+from graphloom.llm.common import maybe_in, narrowed, stored, table, unused
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +29,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group that five-word shingles link at 80 %, the one of the least id; a null id is the greatest.
 
     Rows are grouped by a number of their own, so ids may be null or occur again. Rows of one id are told
-    apart by a hash of all columns. Rows without a word are in no group and all stay.
+    apart by a hash of all columns. Rows without a word are in no group and all stay. Only rows that may have to go, as a
+    broadcast filter of fixed size tells, are joined to those that do; the others' texts are not shuffled.
     """
-    marked = docs.withColumns({"_row": F.monotonically_increasing_id(), "_print": F.xxhash64(*docs.columns)})
-    rows = stored(marked, "rows")
-    groups = jaccard.near_groups(rows, 5, 80, id_col="_row").select("_row", "component_id")
-    ranked = groups.join(rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_print", "_row").alias("rank")), "_row")
-    kept = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    row, print_ = unused("_row", docs.columns), unused("_print", docs.columns)
+    rows = stored(docs.withColumns({row: F.monotonically_increasing_id(), print_: F.xxhash64(*docs.columns)}), "rows")
+    groups = jaccard.near_groups(rows, 5, 80, id_col=row).select(F.col(row).alias("id"), "component_id")
+    tied = stored(groups.filter("id <> component_id"), "tied")
+    members = tied.unionByName(tied.select(F.col("component_id").alias("id"), "component_id").distinct())
+    order = narrowed(rows.select(F.col(row).alias("id"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", print_, row).alias("rank")), "id", members)
+    ranked = stored(members.join(order, "id"), "ranked")
+    kept = ranked.groupBy("component_id").agg(F.min("rank")[row].alias("id"))
+    gone = stored(ranked.select("id").join(kept, "id", "left_anti"), "gone")
+    maybe = maybe_in(rows, row, gone)
+    left = maybe.filter("_maybe").join(gone, F.col(row) == gone["id"], "left_anti")
+    return maybe.filter("NOT _maybe").unionByName(left).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
