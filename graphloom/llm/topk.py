@@ -9,14 +9,20 @@ carry-save adders, three bitmaps in, one sum and one carry out. The top k rows a
 significant score slice down: rows that are certainly in, rows still tied, until the tied rows fit; rows of one
 score at the border are resolved by the smaller id. So results are exact, ties included.
 
-Blocks are built once, each by one task, and hold BLOCK rows at most; queries form batches, and a batch meets
-every block once, through a join on the block's number. A block gives k rows for each query at most, and a
-query's k best of those are kept, so what is shuffled grows with blocks times queries, never with pairs.
-
-Vectors that are null, hold a null or non-finite component, have another length than most vectors, or
-components whose integer has more than 40 bits, take no part, as query or candidate. Fewer than k
-candidates give fewer rows. Rows that repeat an id are candidates of one another's query only by their id:
-a query never meets rows of its own id. An empty table gives an empty result.
+Blocks hold about BLOCK rows of one vector length. A block and the query batches of that length go to one task, the block
+first, so its index is built once and then meets batch after batch; a batch is a few dozen kilobytes, so copying batches to
+blocks moves far less than blocks to batches would. A block gives k rows for each query at most, and a query's k best
+of those are kept, so what is shuffled afterwards grows with blocks times queries, never with pairs.
+
+Integers are as wide as components make them: values are kept as whole doubles, which floor(scale * x) always is. Rows
+with a value of WIDE or more don't fit the slices' words and are scored by exact Python integers, against every query; a query
+with such a value is scored so against every row. A score among the k best that is no 64-bit integer is an
+error, as is a component that overflows a double when it is scaled.
+
+Vectors that are null or hold a null or non-finite component, empty vectors and rows without an id take no part, as query or
+candidate. Each vector length is searched apart. Fewer than k candidates give fewer rows. Rows that repeat an id are candidates of
+one another's query only by their id: a query never meets rows of its own id; several queries of one id share its k rows. An empty table gives an empty result.
+Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -25,13 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import discard, few, stored, table
 
 BLOCK, QUERY_BATCH = 16_384, 128
 WORD = 64
+#: Values that slices don't hold, and the greatest score.
+WIDE, LONG = 2.0**61, 2**63 - 1
+#: Blocks (8 MB each at 64 components) or batches that reach Python at once.
+ROWS = 8
 
 
 def usable(vectors: DataFrame, vec_col: str = "embedding") -> DataFrame:
@@ -41,15 +51,21 @@ def usable(vectors: DataFrame, vec_col: str = "embedding") -> DataFrame:
 
 
 def quantised(vectors: DataFrame, scale: float, id_col: str, vec_col: str = "embedding") -> DataFrame:
-    """(id, v): v has floor(scale * x) for each component x, as double."""
-    v = F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    return usable(vectors, vec_col).select(F.col(id_col).alias("id"), v.alias("v"))
+    """(id, v): v has floor(scale * x) for each component x, as a whole double, which is exact at every size."""
+
+    def whole(x: Column) -> Column:
+        y = x.cast("double") * scale
+        floor = F.when(F.abs(y) < 2.0**52, F.floor(F.greatest(F.least(y, F.lit(2.0**52)), F.lit(-(2.0**52)))).cast("double")).otherwise(y)
+        return F.when(F.abs(y) == float("inf"), F.raise_error(F.lit("a component is too large to be scaled")).cast("double")).otherwise(floor)
+
+    rows = usable(vectors, vec_col).filter(F.col(id_col).isNotNull())
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, whole).alias("v"))
 
 
 class SlicedBlock:
     """The bit-sliced index of a block's rows."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray) -> None:
+    def __init__(self, ids: np.ndarray, values: np.ndarray) -> None:  # values: int64, below WIDE
         order = np.argsort(ids, kind="stable")  # ties then go to the first row
         self.ids, values = ids[order], values[order]
         self.n, self.dims = values.shape
@@ -137,45 +153,77 @@ class SlicedBlock:
         return words[w] * 64 + b
 
 
-def _packed(vectors: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """(number, ids, values) with about size rows in each number, and how many numbers there are. Values are 8-byte integers in one binary."""
-    n = vectors.count()
-    groups = max(1, -(-n // size))
+class Block:
+    """A block's rows: those whose values fit the slices, and the few that are wider."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray) -> None:
+        wide = (np.abs(values) >= WIDE).any(axis=1)
+        self.ids, self.values, self.wide = ids, values, np.flatnonzero(wide)
+        self.sliced = SlicedBlock(ids[~wide], values[~wide].astype(np.int64)) if not wide.all() else None
+
+    def top(self, query: np.ndarray, query_id: int, k: int) -> list[tuple[int, int]]:
+        """(id, score) of the k best rows; scores are Python integers, exact."""
+        exact = self.wide
+        best = []
+        if (np.abs(query) >= WIDE).any():
+            exact = range(len(self.ids))
+        elif self.sliced:
+            best = self.sliced.top(query.astype(np.int64), query_id, k)
+        whole = [int(q) for q in query] if len(exact) else []
+        best += [(int(self.ids[r]), sum(a * int(b) for a, b in zip(whole, self.values[r], strict=True))) for r in exact if self.ids[r] != query_id]
+        return sorted(best, key=lambda p: (-p[1], p[0]))[:k] if len(exact) else best
+
+
+def _packed(vectors: DataFrame, size: int) -> DataFrame:
+    """(d, number, numbers, ids, vals): about size rows of length d in each number of 0 to numbers - 1; values are doubles in one binary.
+
+    Rows are dealt by a hash of what they hold and of where they stand, so copies and repeated ids spread over all numbers.
+    """
+    numbers = vectors.groupBy(F.size("v").alias("_d")).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("numbers"))
 
     def pack(rows: pa.Table) -> pa.Table:
         ids = rows.column("id").to_numpy()
         flat = rows.column("v").combine_chunks().flatten().to_numpy()
-        return pa.table({"number": rows.column("number")[:1], "ids": [ids.astype("<i8").tobytes()], "vals": [flat.astype("<i8").tobytes()]}, schema=pa.schema([("number", pa.int32()), ("ids", pa.binary()), ("vals", pa.binary())]))
-
-    number = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
-    return vectors.withColumn("number", number).groupBy("number").applyInArrow(pack, "number int, ids binary, vals binary"), groups
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score) for quantised vectors and queries (id, v)."""
-    dims = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    whole = (F.size("v") == (dims["d"] if dims else 0)) & F.forall("v", lambda x: F.abs(x) < 2**40)
-    blocks, n_blocks = _packed(vectors.filter(whole), block)
-    batches, _ = _packed(queries.filter(whole), QUERY_BATCH)
-    blocks, batches = stored(blocks, "blocks"), stored(batches, "queries")
-    met = batches.select(F.col("number").alias("batch"), F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("number"))
-    pairs = met.join(blocks, "number")
-    pairs = pairs.repartition(max(1, batches.count() * n_blocks), "batch", "number") if n_blocks > 1 else pairs.repartition("batch")
-
-    def search(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, SlicedBlock] | None = None
-        for batch in rows:
-            for number, q_ids, q_vals, ids, vals in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if held is None or held[0] != number:
-                    own = np.frombuffer(ids, "<i8")
-                    held = number, SlicedBlock(own, np.frombuffer(vals, "<i8").reshape(len(own), -1))
-                who = np.frombuffer(q_ids, "<i8")
-                out = [(int(q), i, s) for q, v in zip(who, np.frombuffer(q_vals, "<i8").reshape(len(who), -1), strict=True) for i, s in held[1].top(v, int(q), k)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
-
-    found = pairs.select("number", "q_ids", "q_vals", "ids", "vals").mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+        first = rows.slice(0, 1)
+        return pa.Table.from_arrays([first.column("d"), first.column("number"), first.column("numbers"), pa.array([ids.astype("<i8").tobytes()]), pa.array([flat.astype("<f8").tobytes()])], names=["d", "number", "numbers", "ids", "vals"])
+
+    rows = vectors.withColumn("d", F.size("v")).join(numbers, F.col("d") == F.col("_d")).drop("_d")
+    rows = rows.withColumn("number", F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.col("numbers")).cast("int"))
+    return rows.select("d", "number", "numbers", "id", "v").groupBy("d", "number").applyInArrow(pack, "d int, number int, numbers int, ids binary, vals binary")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, index: type[Block] = Block) -> DataFrame:
+    """(query_id, rank, vec_id, score) for quantised vectors and queries (id, v); index(ids, values) is made once for each block."""
+    blocks = stored(_packed(vectors, block), "blocks")
+    batches = _packed(queries, QUERY_BATCH).select("d", "ids", "vals")
+    numbers = blocks.groupBy("d").agg(F.max("numbers").alias("numbers"))
+    met = batches.join(numbers, "d").select("d", F.explode(F.sequence(F.lit(0), F.col("numbers") - 1)).alias("number"), F.lit(True).alias("asks"), "ids", "vals")
+    rows = blocks.select("d", "number", F.lit(False).alias("asks"), "ids", "vals").unionByName(met)
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "d", "number").sortWithinPartitions("d", "number", "asks")
+
+    def search(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in found:
+            for at in range(batch.num_rows):
+                d, _, asks, ids, vals = (batch.column(i)[at].as_py() for i in range(5))
+                who, values = np.frombuffer(ids, "<i8"), np.frombuffer(vals, "<f8").reshape(-1, d)
+                if not asks:
+                    held = index(who, values)
+                    continue
+                out = [(int(q), i, s) for q, v in zip(who, values, strict=True) for i, s in held.top(v, int(q), k)]
+                # A score may be too wide here and still not be among the k best of all; then it isn't needed as a number.
+                texts = [str(s) for _, _, s in out]
+                yield pa.RecordBatch.from_arrays([*(pa.array([o[c] for o in out], pa.int64()) for c in range(2)), pa.array([max(-LONG - 1, min(LONG, o[2])) for o in out], pa.int64()), pa.array([t if abs(o[2]) > LONG else None for o, t in zip(out, texts, strict=True)], pa.string())], names=["query_id", "vec_id", "score", "wide"])
+
+    with few(vectors.sparkSession, ROWS):
+        found = stored(rows.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint, wide string"), "found")
+    discard(blocks)
+    # Scores that are clamped to one number tie there; a clamped one among the k best is an error whatever its place.
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    score = F.when(F.col("wide").isNull(), F.col("score")).otherwise(F.raise_error(F.concat(F.lit("no 64-bit integer: the score "), F.col("wide"))).cast("long"))
+    return best.select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +237,7 @@ WITH good AS (
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM good q JOIN good c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+  FROM good q JOIN good c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
 )

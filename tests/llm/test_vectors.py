@@ -140,3 +140,45 @@ def test_duplicates_of_every_length(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [2.0, 0.0, 0.0]), (4, [0.0, 1.0]), (5, [0.0, 3.0]), (6, [1.0, 0.0]), (7, [1.0])]
     got = {r["vec_id"]: tuple(r)[1:] for r in pivots.near_duplicates(table(spark, rows)).collect()}
     assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (1, 4, True), 5: (1, 4, False), 6: (0, 6, True), 7: (0, 7, True)}
+
+
+def test_top_k_of_odd_rows(spark):
+    """Huge components, null ids, repeated ids and several lengths, against Python integers."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [*(float(abs(c)) for c in rng.normal(0, 1, 3)), 0.001 * (i % 40 == 0)] if i % 20 == 0 else [float(c) for c in rng.normal(0, 1, 4)]) for i in range(60)] + [(i, [float(c) for c in rng.normal(0, 1, 2)]) for i in range(60, 90)]
+    rows += [(100, [1e9, 1.0, -1e9, 0.0]), (101, [-1e300, 0.0, 0.0, 0.0]), (102, [0.0, 0.0, 0.0, 3e15]), (2**53 + 1, [0.5, 0.5, 0.5, 0.0]), (2**53 + 1, [0.25, 0.5, 0.5, 0.0]), (200, [0.0, 0.0, -1e17, 0.0])]
+    odd = [(None, [9.0, 9.0, 9.0, 9.0]), (300, [None, 1.0, 1.0, 1.0]), (400, [float("inf"), 0.0, 0.0, 0.0]), (500, []), (600, None)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows + odd], "vec_id long, embedding array<double>, number int").repartition(4)
+    vectors = topk.quantised(df, 1024.0, "vec_id")
+    ask = [i for i, v in rows if (i % 20 == 0 and i < 100) or i == 2**53 + 1]
+    for block in (8, 16_384):
+        got = sorted(tuple(r) for r in topk.top_k(vectors, vectors.filter(f"(id % 20 = 0 AND id < 100) OR id = {2**53 + 1}"), 7, block).select("query_id", "rank", "vec_id", "score").collect())
+        whole = [(i, [math.floor(1024 * c) if abs(c) < 2**50 else int(c) * 1024 for c in v]) for i, v in rows]
+        expected = []
+        for q in sorted(set(ask)):
+            scored = [(-sum(a * b for a, b in zip(x, y)), i) for j, x in whole if j == q for i, y in whole if i != q and len(x) == len(y)]
+            expected += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(sorted(scored)[:7])]
+        assert got == expected
+    with pytest.raises(Exception, match="no 64-bit integer"):
+        topk.top_k(vectors, vectors.filter("id = 101"), 200).collect()
+    with pytest.raises(Exception, match="too large to be scaled"):
+        topk.quantised(spark.createDataFrame([(1, [1e308])], "vec_id long, embedding array<double>"), 1024.0, "vec_id").collect()
+
+
+def test_a_block_is_indexed_once(spark, tmp_path):
+    """Each block's index is built by one task, whatever the number of query batches."""
+    import uuid
+    from pathlib import Path
+
+    folder = str(tmp_path)
+
+    class Counted(topk.Block):
+        def __init__(self, ids, values):
+            Path(folder, uuid.uuid4().hex).write_text(str(len(ids)))
+            topk.Block.__init__(self, ids, values)
+
+    rng = np.random.default_rng(6)
+    vectors = topk.quantised(table(spark, [(i, [float(c) for c in rng.normal(0, 1, 3)]) for i in range(900)]), 1024.0, "vec_id")
+    assert topk.top_k(vectors, vectors, 3, 100, Counted).count() == 2700
+    built = [int(p.read_text()) for p in Path(folder).iterdir()]
+    assert len(built) <= 9 and sum(built) == 900
