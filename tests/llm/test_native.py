@@ -186,6 +186,71 @@ def test_attempts_without_a_marker_do_not_count(spark):
     assert rollup.apply("b-1", batch) and totals(rollup) == {("a", "en", "t"): (1, 3, 1)}
 
 
+def test_a_crash_at_any_moment_of_a_commit(spark, monkeypatch):
+    """Before the rename nothing has happened, after it all has; the batch can be sent again either way."""
+    rollup = token_counts.Rollup(spark, scratch(spark, "rollup"))
+    batch = changes(spark, [("insert", "a", "en", "t", None, 3)])
+    publish = token_counts.Rollup._publish
+
+    def before(self, place, entry):
+        self._fs.mkdirs(self._to(f"{self.path}/commits/.half/{entry}"))  # made, not renamed
+        raise RuntimeError("crash")
+
+    def after(self, place, entry):
+        publish(self, place, entry)
+        raise RuntimeError("crash")
+
+    monkeypatch.setattr(token_counts.Rollup, "_publish", before)
+    with pytest.raises(RuntimeError):
+        rollup.apply("b-1", batch)
+    assert totals(rollup) == {} and rollup.committed() == {}
+    monkeypatch.setattr(token_counts.Rollup, "_publish", after)
+    with pytest.raises(RuntimeError):
+        rollup.apply("b-1", batch)
+    monkeypatch.undo()
+    assert not rollup.apply("b-1", batch) and totals(rollup) == {("a", "en", "t"): (1, 3, 1)}
+
+
+def test_the_second_of_two_writers_changes_nothing(spark):
+    rollup = token_counts.Rollup(spark, scratch(spark, "rollup"))
+    assert rollup._publish("commits/b", "first")
+    made = rollup._to(f"{rollup.path}/commits/.late")
+    rollup._fs.mkdirs(rollup._to(made, "second"))
+    rollup._fs.rename(made, rollup._to(f"{rollup.path}/commits/b"))  # past the check for the folder
+    assert rollup.committed() == {"b": "first"} and not rollup._publish("commits/b", "third")
+
+
+def test_deltas_are_folded(spark, monkeypatch):
+    rollup = token_counts.Rollup(spark, scratch(spark, "rollup"), fold=3)
+    for i in range(7):
+        assert rollup.apply(f"b-{i}", changes(spark, [("insert", "a", None, "t", None, i)]))
+    assert totals(rollup) == {("a", None, "t"): (7, 21, 7)}
+    base, new = rollup._open()
+    assert base and sorted(new) == ["b-6"] and rollup._names("bases") == ["1", "2"]
+    assert not rollup.apply("b-0", changes(spark, [("insert", "a", None, "t", None, 100)]))
+    monkeypatch.setattr(token_counts.Rollup, "_publish", lambda *a: False)  # a fold that another writer was faster with
+    rollup.compact()
+    assert totals(rollup) == {("a", None, "t"): (7, 21, 7)}
+    assert totals(token_counts.Rollup(spark, rollup.path)) == totals(rollup)
+
+
+def test_token_counts_of_repeated_rows(spark, tmp_path):
+    """The query on repeated and null ids, null columns and columns of clashing names, against its SQL."""
+    import duckdb
+
+    rows = [(1, "two words", "en", "a"), (1, "two words", "en", "a"), (1, "now three words", "en", "a"), (2, "bad text", "en", "b"), (2, None, None, None), (None, "no id", "en", "a"), (3, "", "en", "b"), (4, "é " * 5000, None, "b")]
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, lang string, source string, tokenizer string, words int, op int")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(1, 0, 0), (2, 0, 1), (2, 1, None), (4, None, None), (None, 0, 1), (9, 0, 1)], "doc_id long, quality int, toxic int")
+    labels.coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    expected = con.execute(token_counts.ORACLE_SQL).fetchall()
+    got = [tuple(r) for r in token_counts.op4_token_counts(spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, expected)) and any(r[5] > 3 for r in got)
+
+
 def test_bad_batches(spark):
     rollup = token_counts.Rollup(spark, scratch(spark, "rollup"))
     with pytest.raises(Exception, match="no such change"):
