@@ -1,17 +1,20 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree (native).
 
 Each source gets a target in words: its weight's share of the mixture, stopped at ``cap`` times its
-own words, the excess reshared by weight. Its documents form about sqrt(rows) blocks, dealt by hash.
+own words, the excess reshared by weight. Its documents form about sqrt(rows) blocks, all sources together BLOCKS at most
+(but one each), dealt by a hash of id and text, so that neither a null or repeated id nor a text that many documents have fills a block.
 A source that is read more than once has a pass for every time; in each pass its blocks are permuted
-anew, and the target cuts the last block between two documents. The exact numbers of blocks of all
+anew, and the target cuts the last block at a place in its documents' hashed order. The exact numbers of blocks of all
 sources are then split down a binary tree over the output shards: on every level half of a node's
 draws go left, drawn without replacement, so the left counts by source are one multivariate
 hypergeometric draw. A shard's quota of a source is a range of its permuted blocks, and ranges are
 disjoint. Inside a shard documents are ordered by hash.
 
-Null sources are a source of their own, last in order; null texts have size 0; rows may repeat a
-doc_id (they are told apart by size only when blocks are cut, and copies of one id with one size count
-as one document each). An empty table gives an empty mixture.
+All this is decided on rows of hashes and sizes. Texts only meet the table of blocks, which is broadcast while its
+counted rows allow (sources, not documents, decide that), and are shuffled once, when a mixture is written out in its shards' order.
+
+Null sources are a source of their own, last in order; null texts have size 0; rows with equal id and text are one
+unit where a block is cut, so all or none of them are taken there. An empty table gives an empty mixture. Columns of any other name are carried in a struct.
 """
 
 from __future__ import annotations
@@ -19,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import draw52, small, stored, table, word_count
+from .common import BROADCAST_ROWS, discard, draw52, small, stored, table, unused, word_count
 
 SEED = 20
+#: Blocks of all sources together, but one of each source at least.
+BLOCKS = 16_384
 
 
 def source_targets(sizes: DataFrame, weights: list[int], share: tuple[int, int], cap: int) -> DataFrame:
@@ -48,7 +53,7 @@ def source_targets(sizes: DataFrame, weights: list[int], share: tuple[int, int],
     capped = (F.col("source_size") * cap).cast("double")
     return per.select(
         "source", "src", "weight", "source_size", "n_docs",
-        F.ceil(F.sqrt("n_docs")).cast("long").alias("n_blocks"),
+        F.greatest(F.lit(1), F.least(F.ceil(F.sqrt("n_docs")), F.floor(F.lit(BLOCKS) / F.count(F.lit(1)).over(everything)))).cast("long").alias("n_blocks"),
         F.coalesce(F.least(F.col("_level") * F.col("weight"), capped), capped).alias("target"),
     )
 
@@ -64,28 +69,33 @@ def _split(quotas: DataFrame, levels: int) -> DataFrame:
     return quotas.select((F.col("node") - 2**levels).alias("shard"), "src", "quota")
 
 
-def mixture(docs: DataFrame, weights: list[int], share: tuple[int, int] = (3, 2), cap: int = 2, shard_levels: int = 4, id_col: str = "doc_id", carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(plan, sources): plan has every row of docs once, as (id, source, size, src, copies) and the columns to carry.
+def _marks(docs: DataFrame, id_col: str, carry: bool) -> DataFrame:
+    """(_id, source, size, _mark) of every row of docs, and with carry ``row``; _mark is the digest of id and text from which all draws of a document come."""
+    digest = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    return docs.select(F.col(id_col).alias("_id"), "source", word_count(F.col("text")).alias("size"), digest.alias("_mark"), *row)
+
+
+def _blocked(rows: DataFrame, about: DataFrame) -> DataFrame:
+    """rows (source, _mark) with src and block."""
+    block = draw52(F.lit(SEED), F.lit("block"), F.col("_mark")) % F.col("n_blocks")
+    return rows.join(about, F.col("source").eqNullSafe(F.col("_source"))).withColumn("block", block).drop("_source", "n_blocks")
+
 
-    copies lists the shard, pass and order of each time that the mixture takes the document. Carried columns
-    come from docs themselves, read once more, and meet only small tables: whole texts are not shuffled, but for
-    those of the blocks that a target cuts. ``share`` is the mixture's words as a fraction of all words. Sources fit a broadcast only if counted so.
+def mixture(docs: DataFrame, weights: list[int], share: tuple[int, int] = (3, 2), cap: int = 2, shard_levels: int = 4, id_col: str = "doc_id", carry: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(plan, sources): plan has every row of docs once, as (id, source, size, src, copies), and with carry a struct ``row`` of all its columns.
+
+    copies lists the shard, pass and order of each time that the mixture takes the document, by pass. ``share`` is the
+    mixture's words as a fraction of all words.
     """
-    sizes = stored(docs.select(F.col(id_col).alias("_id"), "source", word_count(F.col("text")).alias("size")), "sizes")
+    sizes = stored(_marks(docs, id_col, False), "sizes")
     sources = stored(source_targets(sizes, weights, share, cap), "sources")
     n_sources = sources.count()
     about = small(sources.select(F.col("source").alias("_source"), "src", "n_blocks"), n_sources)
-    block = draw52(F.lit(SEED), F.lit("block"), F.col("_id")) % F.col("n_blocks")
-
-    def with_block(rows: DataFrame) -> DataFrame:
-        return rows.join(about, F.col("source").eqNullSafe(F.col("_source"))).withColumn("block", block).drop("_source", "n_blocks")
-
-    keyed = with_block(sizes)
+    keyed = stored(_blocked(sizes, about), "keyed")
+    discard(sizes)
     blocks = stored(keyed.groupBy("src", "block").agg(F.sum("size").alias("words")), "blocks")
-    n_blocks = blocks.count()
-    passes = blocks.join(F.broadcast(sources.select("src", "target", "source_size")) if n_sources <= 20_000 else sources.select("src", "target", "source_size"), "src").select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))).alias("pass")
-    )
+    passes = blocks.join(small(sources.select("src", "target", "source_size"), n_sources), "src").select("*", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))).alias("pass"))
     in_pass = Window.partitionBy("src", "pass").orderBy(draw52(F.lit(SEED), F.lit("perm"), F.col("src"), F.col("pass"), F.col("block")), "block")
     units = (
         passes.withColumn("_end", F.sum("words").over(in_pass.rowsBetween(Window.unboundedPreceding, 0)) + F.col("pass") * F.col("source_size"))
@@ -94,55 +104,76 @@ def mixture(docs: DataFrame, weights: list[int], share: tuple[int, int] = (3, 2)
     )
     in_source = Window.partitionBy("src").orderBy("pass", "_end", "block")
     units = stored(units.select("src", "pass", "block", F.least("_left", F.col("words").cast("double")).alias("room"), "words", F.row_number().over(in_source).alias("rank")), "units")
+    # Where a target cuts a block, the documents' hashed order up to which it takes them; one block of a source at most.
+    cuts = units.filter("room < words").select("src", "block", "room")
+    at = keyed.join(small(cuts, n_sources), ["src", "block"]).groupBy("src", "block", "room", draw52(F.lit(SEED), F.lit("cut"), F.col("_mark")).alias("at")).agg(F.sum("size").alias("size"))
+    upto = Window.partitionBy("src", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    cut = at.withColumn("_mid", F.sum("size").over(upto) - F.col("size") / 2).filter("_mid <= room").groupBy("src", "block").agg(F.max("at").alias("last"))
     leaves = _split(units.groupBy("src").agg(F.count(F.lit(1)).alias("quota")).select(F.lit(1).alias("node"), "src", "quota"), shard_levels)
     before = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     ranges = leaves.withColumn("_from", F.coalesce(F.sum("quota").over(before), F.lit(0)))
     dealt = ranges.select("src", "shard", F.explode(F.sequence((F.col("_from") + 1).cast("int"), (F.col("_from") + F.col("quota")).cast("int"))).alias("rank"))
-    dealt = units.join(dealt, ["src", "rank"])
-    by_block = dealt.groupBy("src", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "room", "words"))).alias("units"))
-    carry = [c for c in carry or [] if c not in (id_col, "source")]
-    every = with_block(docs.select(F.col(id_col).alias("_id"), "source", word_count(F.col("text")).alias("size"), *[F.col(c).alias(f"_carry_{c}") for c in carry])) if carry else keyed
-    marked = every.join(small(by_block, n_blocks), ["src", "block"], "left")
-    cut = F.exists("units", lambda u: u["room"] < u["words"])
-    whole = marked.filter(F.coalesce(~cut, F.lit(True))).withColumn("_mid", F.lit(0.0))
-    # Only blocks that a target cuts need the order of their documents: one for each source at most.
-    turn = Window.partitionBy("src", "block").orderBy(draw52(F.lit(SEED), F.lit("cut"), F.col("_id")), "_id", "size")
-    parted = marked.filter(cut).withColumn("_mid", F.sum("size").over(turn.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2)
-    taken = F.filter(F.coalesce("units", F.array()), lambda u: (u["room"] >= u["words"]) | (F.col("_mid") <= u["room"]))
-    copies = F.transform(taken, lambda u: F.struct(u["shard"].cast("int").alias("shard"), u["pass"].alias("pass"), draw52(F.lit(SEED), F.lit("order"), F.col("_id"), u["pass"]).alias("order")))
-    both = whole.unionByName(parted)
-    return both.select(F.col("_id").alias(id_col), "source", "size", "src", copies.alias("copies"), *[F.col(f"_carry_{c}").alias(c) for c in carry]), sources
+    whole = F.col("room") >= F.col("words")
+    dealt = units.join(dealt, ["src", "rank"]).join(cut, ["src", "block"], "left").withColumn("last", F.when(whole, F.lit(2**53)).otherwise(F.coalesce("last", F.lit(-1))))
+    by_block = stored(dealt.groupBy("src", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "last"))).alias("units")), "dealt")
+    every = _blocked(_marks(docs, id_col, True), about) if carry else keyed
+    marked = every.join(small(by_block, by_block.count(), BLOCKS + BROADCAST_ROWS), ["src", "block"], "left").withColumn("_at", draw52(F.lit(SEED), F.lit("cut"), F.col("_mark")))
+    taken = F.filter(F.coalesce("units", F.array()), lambda u: F.col("_at") <= u["last"])
+    copies = F.transform(taken, lambda u: F.struct(u["shard"].cast("int").alias("shard"), u["pass"].alias("pass"), draw52(F.lit(SEED), F.lit("order"), F.col("_mark"), u["pass"]).alias("order")))
+    return marked.select(F.col("_id").alias(id_col), "source", "size", "src", copies.alias("copies"), *["row"] * carry), sources
 
 
 def mixed_rows(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """A row for each copy that the mixture takes: (id, source, size, shard, pass, order)."""
-    return plan.select(id_col, "source", "size", F.inline("copies"))
+    """A row for each copy that the mixture takes: (id, source, size, shard, pass, order), and row if the plan has it."""
+    return plan.select(id_col, "source", "size", F.inline("copies"), *["row"] * ("row" in plan.columns))
+
 
+def in_shards(plan: DataFrame) -> DataFrame:
+    """The rows of all copies (shard and row) of a plan that carries rows, each shard in pieces, each piece shuffled by its documents' hashed order.
+
+    A piece holds a shard's orders between two bounds, so a shard's pieces one after the other are the shard in its order.
+    """
+    rows = mixed_rows(plan).select("shard", "order", "row")
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, "shard", "order").sortWithinPartitions("shard", "order").select("shard", "row")
 
-def write_shards(plan: DataFrame, docs: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """The mixture's documents, one folder a shard, each part in its hashed order."""
-    rows = mixed_rows(plan, id_col).join(docs.drop("source", "size", "shard", "pass", "order"), id_col)
-    rows.repartition("shard", F.floor(F.col("order") / 2**48)).sortWithinPartitions("shard", "order").write.partitionBy("shard").parquet(path)
+
+def write_shards(plan: DataFrame, path: str) -> None:
+    """The mixture's documents, one folder a shard, in its hashed order."""
+    name = unused("shard", plan.select("row.*").columns)
+    in_shards(plan).select(F.col("shard").alias(name), "row.*").write.partitionBy(name).parquet(path)
 
 
 WEIGHTS = [3, 1, 2]
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside the sizes and targets: the shards of a document's copies, in order of their passes, as the tree deals them."""
     plan, sources = mixture(table(spark, sf_dir, "documents"), WEIGHTS)
     about = sources.select("src", "source_size", "target")
-    return plan.join(small(about, about.count()), "src").select("doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).cast("long").alias("taken"))
+    shards = F.concat_ws(",", F.transform("copies", lambda c: c["shard"].cast("string")))
+    return plan.join(small(about, about.count()), "src").select("doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).cast("long").alias("taken"), shards.alias("shards"))
 
 
 def _draw(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13))::BIGINT"
 
 
+def _tree(levels: int) -> str:
+    """SQL for the splitting tree: (shard, src, quota) as the table leaves, from units."""
+    out = "l0 AS (SELECT 1 AS node, src, count(*) AS quota FROM units GROUP BY src)"
+    for i in range(levels):
+        turn = f"row_number() OVER (PARTITION BY node ORDER BY {_draw(str(SEED), f"'tree{i}'", 'node', 'src', 'draw')}, src, draw)"
+        out += f""", d{i} AS (SELECT node, src, unnest(range(1, quota + 1)) AS draw FROM l{i}
+), l{i + 1} AS (SELECT node, src, count(*) AS quota FROM (SELECT node * 2 + ({turn} * 2 > count(*) OVER (PARTITION BY node) + 1)::INTEGER AS node, src FROM d{i}) GROUP BY ALL)"""
+    return f"{out}, leaves AS (SELECT node - {2**levels} AS shard, src, quota FROM l{levels})"
+
+
 ORACLE_SQL = rf"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS mark FROM documents
 ), per AS (
-  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs, ceil(sqrt(count(*)))::BIGINT AS n_blocks FROM sized GROUP BY source
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs, greatest(1, least(ceil(sqrt(count(*)))::BIGINT, {BLOCKS} // count(*) OVER ())) AS n_blocks FROM sized GROUP BY source
 ), ranked AS (
   SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src FROM per
 ), weighed AS (
@@ -159,18 +190,22 @@ WITH sized AS (
 ), targets AS (
   SELECT source, src, source_size, n_blocks, least(coalesce((SELECT lvl FROM lev) * weight, source_size * 2.0), (source_size * 2)::DOUBLE)::DOUBLE AS target FROM weighed
 ), keyed AS (
-  SELECT doc_id, size, t.*, {_draw(str(SEED), "'block'", "doc_id")} % n_blocks AS block FROM sized JOIN targets t ON sized.source IS NOT DISTINCT FROM t.source
+  SELECT doc_id, size, mark, t.*, {_draw(str(SEED), "'block'", "mark")} % n_blocks AS block, {_draw(str(SEED), "'cut'", "mark")} AS place FROM sized JOIN targets t ON sized.source IS NOT DISTINCT FROM t.source
 ), blocks AS (
   SELECT src, block, target, source_size, sum(size) AS words FROM keyed GROUP BY ALL
 ), passes AS (
   SELECT *, sum(words) OVER (PARTITION BY src, pass ORDER BY {_draw(str(SEED), "'perm'", "src", "pass", "block")}, block) + pass * source_size AS ends
   FROM blocks, (VALUES (0), (1)) p(pass)
 ), units AS (
-  SELECT src, pass, block, words, target - (ends - words)::DOUBLE AS room FROM passes WHERE target - (ends - words)::DOUBLE > 0 AND words > 0
+  SELECT src, pass, block, words, target - (ends - words)::DOUBLE AS room, row_number() OVER (PARTITION BY src ORDER BY pass, ends, block) AS rank
+  FROM passes WHERE target - (ends - words)::DOUBLE > 0 AND words > 0
+), {_tree(4)}, ranges AS (
+  SELECT src, shard, coalesce(sum(quota) OVER (PARTITION BY src ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first, quota FROM leaves
+), dealt AS (
+  SELECT u.*, shard FROM units u JOIN ranges r ON u.src = r.src AND u.rank > first AND u.rank <= first + quota
 ), mids AS (
-  SELECT *, sum(size) OVER (PARTITION BY src, block ORDER BY {_draw(str(SEED), "'cut'", "doc_id")}, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2 AS mid FROM keyed
+  SELECT *, sum(size) OVER (PARTITION BY src, block ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(size) OVER (PARTITION BY src, block, place) / 2 AS mid FROM keyed
 )
-SELECT doc_id, size, source_size::BIGINT AS source_size, target,
-  (size * (SELECT count(*) FROM units u WHERE u.src = m.src AND u.block = m.block AND (u.room >= u.words OR m.mid <= u.room)))::BIGINT AS taken
-FROM mids m
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * coalesce(len(shards), 0))::BIGINT AS taken, coalesce(array_to_string(shards, ','), '') AS shards
+FROM (SELECT m.*, (SELECT list(shard ORDER BY pass) FROM dealt u WHERE u.src = m.src AND u.block = m.block AND (u.room >= u.words OR m.mid <= u.room)) AS shards FROM mids m)
 """

@@ -95,12 +95,37 @@ def test_small_mixtures(spark, tmp_path):
     plan, _ = mixing.mixture(docs(spark, [(1, None, None), (2, "", "a")]), [3, 1, 2])
     assert [r["copies"] for r in plan.collect()] == [[], []]
     df = docs(spark, [(i, f"{i} words here", "a") for i in range(50)])
-    plan, _ = mixing.mixture(df, [1], carry=df.columns)
-    assert set(df.columns) <= set(plan.columns) and plan.filter("text IS NULL").count() == 0
-    mixing.write_shards(mixing.mixture(df, [1])[0], df, str(tmp_path / "out"))
+    plan, _ = mixing.mixture(df, [1], carry=True)
+    assert plan.select("row.*").columns == df.columns and plan.filter("row.text IS NULL").count() == 0
+    mixing.write_shards(plan, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 75
 
 
+def test_mixture_with_clashing_columns(spark):
+    """Columns that are named like the operator's own come back whole; null and repeated ids don't fill a block."""
+    names = ["size", "src", "block", "copies", "row", "pass", "shard", "order", "_id", "_mark", "_at", "units", "words", "target", "n_blocks", "_source"]
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text {i} " + "w " * (i % 9), "s" if i % 2 else None) for i in range(400)]
+    df = spark.createDataFrame([(i, t, s, *(f"{n}{k}" for n in names)) for k, (i, t, s) in enumerate(rows)], ", ".join(["doc_id long, text string, source string", *(f"{n} string" for n in names)]))
+    plan, sources = mixing.mixture(df, [3, 1, 2], carry=True)
+    got = plan.collect()
+    assert sorted(map(str, (tuple(r["row"]) for r in got))) == sorted(map(str, map(tuple, df.collect())))
+    about = {r["src"]: r for r in sources.collect()}
+    for src, about_one in about.items():
+        taken = sum(len(r["copies"]) * r["size"] for r in got if r["src"] == src)
+        assert abs(taken - about_one["target"]) <= 12
+    shards = mixing.in_shards(plan).select("shard", "row.*").collect()
+    assert len(shards) == sum(len(r["copies"]) for r in got)
+
+
+def test_shards_hold_their_documents_in_order(spark):
+    """Written out, a shard's pieces one after the other are its documents in their hashed order."""
+    df = docs(spark, [(i, "w " * 5, "a" if i % 3 else "b") for i in range(600)])
+    plan, _ = mixing.mixture(df, [1, 1], carry=True)
+    order = {(r["shard"], r["order"]): r["doc_id"] for r in mixing.mixed_rows(plan).collect()}
+    got = [(r["shard"], r["row"]["doc_id"]) for r in mixing.in_shards(plan).collect()]
+    assert got == [(s, order[s, o]) for s, o in sorted(order)] and len({s for s, _ in got}) == 16
+
+
 def test_mixing_query_reruns_agree(spark):
     a, b = (sorted(map(tuple, mixing.op9_mixing(spark, "/root/testdata/sf0.001").collect())) for _ in range(2))
     assert a == b and len(a) == 200
