@@ -47,9 +47,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture's documents, as often as it takes them."""
-    plan, _ = mixing.mixture(docs, mixing.WEIGHTS, carry=docs.columns)
-    return plan.withColumn("_copy", F.explode("copies")).select(*docs.columns)
+    """The mixture's documents, as often as it takes them, in the hashed order of its shards."""
+    plan, _ = mixing.mixture(docs, mixing.WEIGHTS, carry=True)
+    return mixing.in_shards(plan).select("row.*")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
