@@ -1,10 +1,18 @@
 """Sharding by a hierarchical weighted hash tree (native).
 
-A row descends region -> rack -> shard. On each level every child of the node reached draws
-``-ln(u) / weight`` with u hashed from the row's key and the child's identity, and the least draw
-wins, so a child is taken in proportion to its weight and a weight that changes moves rows only
-into or out of that child. Shards fill racks, racks fill regions; a shard added after full regions
-opens a region of its own, and then takes rows only into itself.
+A row descends region -> rack -> shard. On each level every child of the node reached has a draw from the row's key
+that is exponential with the child's weight as its rate, and the least draw wins, so a child is taken in proportion to its
+weight. A shard's draw is ``-ln(u) / weight``, u hashed from the key and the shard's number; a rack's draw is the least of
+its shards', a region's the least of its racks', which is such a draw for the sum of their weights. So the draws of a node
+change only where a weight below it does: a weight that grows draws rows into its own shard only, one that shrinks lets
+rows go from it only, and nothing moves between other subtrees. One more shard, in a rack that isn't full, in a new rack or in a new region,
+takes rows only into itself, for every number of shards. One digest of the key serves a whole rack.
+
+The price is a digest for each rack and row, rather than for each child on the way down: independent draws for inner nodes would
+cost fewer, but a row that a heavier region wins would then be dealt anew among all shards of the region.
+
+Rows may have keys of any type; null keys are one key, as are equal ones, and go to one shard. Columns of the input that are named like
+the operator's own come back with an underscore after their names. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -15,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import draw52, small, table
+from .common import draw52, small, stored, table, unused
 
 #: Rows that one slot-numbering group should hold.
 GROUP_ROWS = 4096
@@ -34,82 +42,91 @@ class Tree:
         w = self.weights or (1.0,) * self.n
         return float(sum(w[first : min(first + count, self.n)]))
 
-    def levels(self) -> list[tuple[str, int, int]]:
-        """(name, shards below a node, children of the node above) from the root down."""
-        rack, region = self.shards_per_rack, self.shards_per_rack * self.racks_per_region
-        return [("region", region, -(-self.n // region)), ("rack", rack, self.racks_per_region), ("shard", 1, self.shards_per_rack)]
 
+#: Hexadecimal digits of a draw; a digest of 32 digits serves so many shards.
+DIGITS = 6
+DRAWS = 32 // DIGITS
 
-def _draw(key: Column, level: str, weights: Column) -> Callable[[Column], Column]:
-    """A child's draw; null for a child without weight, which array_min passes over."""
 
-    def draw(child: Column) -> Column:
-        w = F.try_element_at(weights, child + 1)
-        u = (draw52(key, F.lit(level), child) + F.lit(1)) / F.lit(float(2**52 + 1))
-        return F.when(w > 0, F.struct((-F.ln(u) / w).alias("draw"), child.alias("child")))
+def _digest(key: Column, number: Column) -> Column:
+    """The digest from which DRAWS neighbouring shards have their draws."""
+    return F.md5(F.concat_ws(":", key, F.lit("shards"), number.cast("string")))
 
-    return draw
 
+def _least(key: Column, tree: Tree) -> Column:
+    """struct(draw, shard) of the shard that a key reaches: least of racks' leasts, of which a region's least is one.
 
-def placed(df: DataFrame, key: str, tree: Tree) -> DataFrame:
-    """df with ``shard``; one projection, no shuffle.
-
-    A node's children are drawn over an array, so generated code doesn't grow with the tree.
+    Shards are drawn over arrays, so generated code doesn't grow with the tree. Ties go to the lower number.
     """
-    out = df.withColumn("_node", F.lit(0))
-    k = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    for name, span, width in tree.levels():
-        weights = F.array(*[F.lit(tree.weight(i * span, span)) for i in range(-(-tree.n // span))])
-        children = F.sequence(F.col("_node") * width, F.col("_node") * width + (width - 1))
+    weights = F.array(*[F.lit(tree.weight(i, 1)) for i in range(tree.n)])
+
+    def shard_draw(digest: Column, first: Column) -> Callable[[Column], Column]:
+        def draw(i: Column) -> Column:
+            shard = first + i
+            w = F.try_element_at(weights, shard + 1)
+            u = (F.conv(F.substring(digest, i * DIGITS + 1, F.lit(DIGITS)), 16, 10).cast("double") + 1) / F.lit(float(16**DIGITS + 1))
+            return F.when(w > 0, F.struct((-F.ln(u) / w).alias("draw"), shard.alias("shard")))
+
+        return draw
+
+    def some(number: Column) -> Column:
+        digest = _digest(key, number)
+        return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), shard_draw(digest, number * DRAWS)))
+
+    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit((tree.n - 1) // DRAWS)), some))
+
+
+def placed(df: DataFrame, key: str, tree: Tree, name: str = "shard") -> DataFrame:
+    """df with its shard, as a column of that name; one projection, no shuffle."""
+    return df.withColumn(name, _least(F.coalesce(F.col(key).cast("string"), F.lit("null")), tree)["shard"])
+
 
-        out = out.withColumn("_node", F.array_min(F.transform(children, _draw(k, name, weights)))["child"])
-    return out.withColumnRenamed("_node", "shard")
+def path(shard: Column, tree: Tree) -> Column:
+    """struct(region, rack) of a shard."""
+    per = tree.shards_per_rack
+    return F.struct(F.floor(shard / (per * tree.racks_per_region)).cast("int").alias("region"), F.floor(shard / per).cast("int").alias("rack"))
 
 
 def shard_rows(df: DataFrame, key: str, tree: Tree, order: list[str] = ()) -> DataFrame:
     """df with ``shard`` and ``slot``, gapless from 0 in each shard.
 
-    Slots are numbered inside groups of about GROUP_ROWS rows of a shard, dealt by the key, and each
-    group starts where the groups before it end: no task holds a whole shard. df's own columns named
-    shard or slot must be renamed first. An empty df stays empty; null keys and repeated rows get slots too.
+    Slots are numbered inside groups of about GROUP_ROWS rows of a shard, dealt by a hash of the key and the columns of order,
+    and each group starts where the groups before it end: no task holds a whole shard. Rows that are equal in all of these have neighbouring slots.
+    df's own columns named shard or slot come back as ``shard_`` and ``slot_``.
     """
-    clash = {"shard", "slot", "_node", "_group", "_start"} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would clash")
+    order = [f"{c}_" if c in ("shard", "slot") else c for c in order]
+    key = f"{key}_" if key in ("shard", "slot") else key
+    df = df.select(*[F.col(f"`{c}`").alias(f"{c}_" if c in ("shard", "slot") else c) for c in df.columns])
+    group, start, own = (unused(n, df.columns) for n in ("_group", "_start", "_own"))
     groups = max(1, -(-df.count() // (GROUP_ROWS * tree.n)))
-    group = F.pmod(F.coalesce(F.col(key).cast("long"), F.lit(0)), F.lit(groups))
-    marked = placed(df, key, tree).withColumn("_group", group)
-    sizes = placed(df.select(key), key, tree).withColumn("_group", group).groupBy("shard", "_group").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("shard", "_group").orderBy(key, *order)
-    numbered = marked.withColumn("slot", F.row_number().over(inside).cast("long") - 1)
-    joined = numbered.join(small(starts, tree.n * groups), ["shard", "_group"])
-    return joined.withColumn("slot", F.col("slot") + F.col("_start")).drop("_group", "_start")
+    number = draw52(F.lit("slot"), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in (key, *order)]) % groups
+    marked = placed(df, key, tree).withColumn(group, number)
+    sizes = placed(df.select(key, *[c for c in order if c != key]), key, tree).withColumn(group, number).groupBy("shard", group).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("shard").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("shard", group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(start))
+    inside = Window.partitionBy("shard", group).orderBy(key, *order)
+    numbered = marked.withColumn(own, F.row_number().over(inside).cast("long") - 1)
+    joined = numbered.join(small(starts, tree.n * groups), ["shard", group])
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], "shard", (F.col(own) + F.col(start)).alias("slot"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
+    """Law ``key``: id and number of shards decide, and one more shard takes rows only into itself, whatever n is."""
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
         F.lit("key").alias("law"),
     )
-    out = shard_rows(docs, "doc_id", Tree(n), ["text_crc32", "size"])
-    grown = placed(out.withColumnRenamed("shard", "_at"), "doc_id", Tree(n + 1)).withColumnRenamed("shard", "grown_shard")
-    return grown.select("doc_id", "size", "text_crc32", "law", F.col("_at").alias("shard"), "slot", "grown_shard")
+    out = shard_rows(stored(docs, "sizes"), "doc_id", Tree(n), ["text_crc32", "size"])
+    return placed(out, "doc_id", Tree(n + 1), "grown_shard").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def _descent(tree: Tree, name: str) -> str:
-    """SQL for the shard of every row of b, as a column of that name."""
-    at = "SELECT doc_id, 0::BIGINT AS node FROM b"
-    for level, span, width in tree.levels():
-        weights = [tree.weight(i * span, span) for i in range(-(-tree.n // span))]
-        u = f"(('0x' || substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, 'null'), '{level}', j)), 1, 13))::BIGINT + 1) / {2**52 + 1}.0::DOUBLE"
-        draw = f"CASE WHEN j < {len(weights)} THEN {{'draw': -ln({u}) / {weights}[j + 1]::DOUBLE, 'child': j}} END"
-        draws = f"list_transform(range(node * {width}, node * {width} + {width}), lambda j: {draw})"
-        at = f"SELECT doc_id, list_min(list_filter({draws}, lambda d: d IS NOT NULL)).child AS node FROM ({at})"
-    return f"SELECT doc_id, node::INTEGER AS {name} FROM ({at})"
+def _reached(n: int) -> str:
+    """SQL for the shard that a doc_id reaches among n of weight 1."""
+    digest = f"md5(coalesce(doc_id::VARCHAR, 'null') || ':shards:' || (s // {DRAWS}))"
+    u = f"(('0x' || substr({digest}, (s % {DRAWS} * {DIGITS} + 1)::INTEGER, {DIGITS}))::BIGINT::DOUBLE + 1) / {16**DIGITS + 1}.0::DOUBLE"
+    return f"list_min(list_transform(range({n}), lambda s: {{'draw': -ln({u}), 'shard': s}})).shard::INTEGER"
 
 
 ORACLE_SQL = f"""
@@ -120,8 +137,8 @@ WITH t AS (
     xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
       lambda c, y: xor(c >> 8, crc[(xor(c, y) & 255) + 1])), 4294967295) AS text_crc32
   FROM documents, t
-), s AS ({_descent(Tree(40), "shard")}), g AS ({_descent(Tree(41), "grown_shard")}), n AS (SELECT greatest(1, ceil(count(*) / {GROUP_ROWS * 40}.0))::BIGINT AS groups FROM documents)
-SELECT b.doc_id, size, text_crc32, 'key' AS law, shard,
-  row_number() OVER (PARTITION BY shard ORDER BY coalesce(b.doc_id, 0) % groups, b.doc_id, text_crc32, size) - 1 AS slot, grown_shard
-FROM b JOIN s ON b.doc_id IS NOT DISTINCT FROM s.doc_id JOIN g ON b.doc_id IS NOT DISTINCT FROM g.doc_id, n
+), p AS (SELECT *, {_reached(40)} AS shard, {_reached(41)} AS grown_shard FROM b), n AS (SELECT greatest(1, ceil(count(*) / {GROUP_ROWS * 40}.0))::BIGINT AS groups FROM documents)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5('slot:' || coalesce(doc_id::VARCHAR, 'null') || ':' || text_crc32 || ':' || size), 1, 13))::BIGINT % groups, doc_id, text_crc32, size) - 1 AS slot, grown_shard
+FROM p, n
 """

@@ -155,6 +155,9 @@ def test_weights_confine_movement(spark):
     moved = [(before[k], after[k]) for k in before if before[k] != after[k]]
     assert moved and all(b // 6 != 1 or b // 3 != 3 or a == 11 for b, a in moved)  # inside its rack only to it
     assert all(a // 6 == 1 for b, a in moved if b // 6 == 0)  # between regions only into its own
+    assert all(a == 11 for _, a in moved)
+    one = (2.0,) + (1.0,) * 11  # a shard in the midst of the tree
+    assert all(a == 0 for k, a in at(weights=one).items() if before[k] != a) and all(before[k] == 0 for k, a in at(weights=(0.5, *one[1:])).items() if before[k] != a)
     assert abs(Counter(after.values())[11] - 20_000 * 3 / 14) < 400
     gone = at(weights=(1.0,) * 11 + (0.0,))
     assert 11 not in gone.values() and all(before[k] == 11 or gone[k] // 6 != 1 or before[k] // 6 == 1 for k in gone)
@@ -168,8 +171,40 @@ def test_sharding_small_cases(spark):
         per[r["shard"]].append(r["slot"])
     assert len(got) == 5 and all(sorted(s) == list(range(len(s))) for s in per.values())
     assert sharding.shard_rows(df.limit(0), "doc_id", sharding.Tree(40)).count() == 0
-    with pytest.raises(ValueError):
-        sharding.shard_rows(df.withColumn("slot", F.lit(1)), "doc_id", sharding.Tree(40))
+    clash = sharding.shard_rows(df.select("doc_id", "text", F.lit("mine").alias("slot"), F.lit(9).alias("_group"), F.lit(8).alias("_own"), F.lit(7).alias("draw")), "doc_id", sharding.Tree(40), ["text"])
+    assert clash.columns == ["doc_id", "text", "slot_", "_group", "_own", "draw", "shard", "slot"]
+    assert {(r["slot_"], r["_group"], r["_own"], r["draw"]) for r in clash.collect()} == {("mine", 9, 8, 7)}
+    assert sorted(map(str, clash.select("doc_id", "text", "shard", "slot").collect())) == sorted(map(str, sharding.shard_rows(df, "doc_id", sharding.Tree(40), ["text"]).collect()))
+    words = spark.createDataFrame([("a",), ("b",), (None,), ("a",)], "shard string")
+    assert sorted(r["slot"] for r in sharding.shard_rows(words, "shard", sharding.Tree(1)).collect()) == [0, 1, 2, 3]
+
+
+def test_growth_takes_rows_only_into_the_new_shard(spark):
+    """For every number of shards: in a rack, as a new rack, as a new region."""
+    keys = spark.range(6000).selectExpr("id * 20 as k")
+    for n in range(39, 46):
+        keys = sharding.placed(keys, "k", sharding.Tree(n), f"n{n}")
+    got = keys.collect()
+    for n in range(39, 45):
+        moved = [(r[f"n{n}"], r[f"n{n + 1}"]) for r in got if r[f"n{n}"] != r[f"n{n + 1}"]]
+        assert all(b == n for _, b in moved) and 90 < len(moved) < 210
+    assert all(90 < c < 210 for c in Counter(r["n40"] for r in got).values())
+    shard = F.col("s").cast("int")
+    at = {r["s"]: tuple(r["p"]) for r in spark.range(40).toDF("s").select("s", sharding.path(shard, sharding.Tree(40)).alias("p")).collect()}
+    assert at[0] == (0, 0) and at[19] == (0, 3) and at[20] == (1, 4) and at[39] == (1, 7)
+
+
+def test_slots_of_hot_keys_spread_over_groups(spark, monkeypatch):
+    """Null keys, keys of a common factor and repeated keys don't fill one group."""
+    monkeypatch.setattr(sharding, "GROUP_ROWS", 10)
+    df = spark.range(4000).selectExpr("case when id % 3 = 0 then null when id % 3 = 1 then 7 else id * 1000 end as doc_id", "cast(id as string) as text")
+    got = sharding.shard_rows(df, "doc_id", sharding.Tree(4), ["text"]).collect()
+    per = defaultdict(list)
+    for r in got:
+        per[r["shard"]].append(r["slot"])
+    assert len(got) == 4000 and all(sorted(s) == list(range(len(s))) for s in per.values())
+    hot = sorted(r["slot"] for r in got if r["doc_id"] is None)
+    assert hot[-1] - hot[0] > 1.2 * len(hot)  # among others of the shard, not in a run
 
 
 def test_slots_across_groups(spark, monkeypatch):
