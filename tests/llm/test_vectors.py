@@ -55,15 +55,39 @@ def test_near_duplicates(spark, monkeypatch):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (n, label, label == i)
 
 
-def test_recall_at_the_threshold():
-    """Pairs of exactly the threshold's cosine, the hardest: at least 0.9 must meet in a list."""
+@pytest.mark.parametrize("n,least", [(256, 0.98), (1024, 0.98), (4096, 0.98)])
+def test_recall_at_the_threshold(n, least):
+    """Pairs of exactly the threshold's cosine, the hardest, must meet in a list, whatever the number of pivots."""
     rng = np.random.default_rng(4)
-    base = unit(rng, 3000, 64)
-    chosen = base[:256]
+    chosen, base = unit(rng, n, 64), unit(rng, 2000, 64)
     other = np.concatenate([copies(rng, s, 1, 0.95) for s in base])
-    a, b = (pivots._heads(v, chosen, pivots.PREFIX) for v in (base, other))
+    a, b = (pivots._heads(v, chosen, pivots.prefix_of(n)) for v in (base, other))
     shared = (a[:, :, None] == b[:, None, :]).sum(axis=(1, 2))
-    assert (shared >= pivots.SHARED).mean() >= 0.95
+    assert (shared >= pivots.SHARED).mean() >= least
+    apart = np.bitwise_count(pivots.signatures(base) ^ pivots.signatures(other)).sum(axis=1)
+    assert apart.max() <= pivots.bits_apart(0.95) < 40
+
+
+def test_copies_are_one_entry(spark):
+    """Many equal vectors, equal ids with other vectors, and null ids: every row is counted, none in pairs."""
+    rng = np.random.default_rng(8)
+    a, b = unit(rng, 2, 16)
+    near = a + 0.05 * b
+    rows = [(i, a) for i in range(40, 1040)] + [(7, near), (3, b), (3, b), (3, near)] + [(i, x) for i, x in zip(range(2000, 2060), unit(rng, 60, 16))]
+    df = spark.createDataFrame([(i, [float(c) for c in x], 1, 2) for i, x in rows] + [(None, [float(c) for c in a], 1, 2)], "vec_id long, embedding array<double>, entry int, list int").repartition(4)
+    got = pivots.near_duplicates(df, block=100).collect()
+    assert len(got) == len(rows) + 1
+    assert {tuple(r)[1:] for r in got if r["vec_id"] in range(40, 1040)} == {(1001, 3, False)}
+    assert sorted(tuple(r)[1:] for r in got if r["vec_id"] == 3) == [(1, 3, True), (1, 3, True), (1001, 3, True)]
+    assert [tuple(r)[1:] for r in got if r["vec_id"] == 7] == [(1001, 3, False)]
+    assert all(tuple(r)[1:] == (0, r["vec_id"], True) for r in got if r["vec_id"] and r["vec_id"] >= 2000)
+    assert [tuple(r) for r in got if r["vec_id"] is None] == [(None, 0, None, None)]
+
+
+def test_huge_and_tiny_components(spark):
+    rows = [(1, [1e300, 1e300]), (2, [1.0, 1.0]), (3, [1e-310, 1e-310]), (4, [1e300, -1e300])]
+    got = {r["vec_id"]: tuple(r)[1:] for r in pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True)}
 
 
 def test_recall_on_a_table(spark):
