@@ -379,6 +379,49 @@ def test_topological_order(spark):
     assert order([[("a", ["a"]), ("b", [])]]) == [("b", plain), ("a", "cyclic")]
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of 300 calls in reverse, one with a second branch, and a cycle beside them."""
+    rounds = []
+    keep = chat.stored
+    monkeypatch.setattr(chat, "stored", lambda df, name: rounds.append(name) or keep(df, name))
+    n = 300
+    nodes = [(1, f"c{i}") for i in range(n)] + [(2, f"d{i}") for i in range(9)]
+    edges = [(1, f"c{i}", f"c{i + 1}") for i in range(n - 1)] + [(1, "c0", "c200"), (2, "d0", "d1"), (2, "d1", "d2"), (2, "d2", "d0"), (2, "d3", "d2"), (2, "d4", "d5"), (2, "d4", "d6"), (2, "d5", "d7"), (2, "d6", "d7"), (2, "d8", "d8")]
+    got = {(r["conv_id"], r["_id"]): r["depth"] for r in chat.depths(spark.createDataFrame(nodes, "conv_id long, _id string"), spark.createDataFrame(edges, "conv_id long, _from string, _to string")).collect()}
+    assert got == {(1, f"c{i}"): n - 1 - i for i in range(n)} | {(2, f"d{i}"): d for i, d in enumerate((None, None, None, None, 2, 1, 1, 0, None))}
+    assert rounds.count("seen") <= 13
+
+
+def test_messages_of_other_roles(spark):
+    df = spark.createDataFrame([message(1, 0, "system", 'be "kind"'), message(1, 1, "assistant", {"tool_calls": [call("x")]}), message(1, 2, "tool", {"tool_call_id": "x"}), message(1, 3, "assistant", "done"), message(1, 4, None, None), message(1, 5, "tool", "no json"), message(1, 6, "assistant", {"tool_calls": []})], "conv_id long, turn long, role string, text string")
+    rows = chat.link(*chat.parse_messages(df), SCHEMAS, chat.other_messages(df)).collect()
+    assert Counter(r["status"] for r in rows) == {"linked": 1, "message": 5}
+    assert sorted(json.loads(r["json"])["turn"] for r in rows if r["status"] == "message") == [0, 3, 4, 5, 6]
+    assert '{"content":"be \\"kind\\"","role":"system","turn":0}' in {r["json"] for r in rows} and '{"content":null,"role":null,"turn":4}' in {r["json"] for r in rows}
+
+
+def test_chat_query_has_every_status(spark):
+    """The rule yields late dependencies, cycles, repeated ids and every kind of problem, and no message is left out."""
+    sf = "/root/testdata/sf0.01"
+    rows = chat.op8_chat(spark, sf).collect()
+    messages = spark.read.parquet(f"{sf}/conversations.parquet")
+    per = Counter(r["status"] for r in rows)
+    assert set(per) == {"linked", "unanswered", "repeated", "cyclic", "orphan", "message"}
+    taken = sum(json.loads(r["json"]).get("result") is not None for r in rows if r["seq"] is not None)
+    assert len(rows) + taken == messages.count()
+    assert {p for r in rows for p in r["problems"].split("; ")} == {"", "turn is no integer", "unknown parameters: note", "arguments are no JSON object", "no such tool"}
+    assert any(json.loads(r["json"])["depends_on"][1:] for r in rows if r["seq"] is not None)
+
+
+def test_chat_with_clashing_columns(spark):
+    columns = ["pos", "call_id", "name", "arguments", "depends_on", "content", "depth", "seq", "cyclic", "_k", "_n", "status", "json"]
+    rows = [(3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", None)]
+    plain = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df = plain.select("*", *[F.lit("mine").alias(c) for c in columns])
+    one, two = (sorted(map(str, chat.link(*chat.turns_as_calls(d), chat.REPLY, chat.plain_messages(d)).collect())) for d in (plain, df))
+    assert one == two and len(one) == 2
+
+
 def test_chat_small_cases(spark):
     assert linked(spark, [message(1, 0, "user", "x")][:0]) == []
     df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 5, "assistant", None), (2, 700, "user", None), (2, 702, "user", "x" * 100_000)], "conv_id long, turn long, role string, text string")
