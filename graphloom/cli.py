@@ -13,6 +13,7 @@ from .functions.scalars import fill_reduction
 from .model import Graph
 from .operators import ordering, stats
 from .sources import grid, metis
+from .storage import clear
 
 TEST_SIDE = 50
 
@@ -69,6 +70,8 @@ def main(argv: list[str] | None = None) -> int:
     except (metis.GraphFormatError, FileNotFoundError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
+    finally:
+        clear(spark)
 
 
 if __name__ == "__main__":

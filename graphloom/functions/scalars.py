@@ -29,7 +29,8 @@ def in_slice(pos: Column, size: Column) -> Column:
 
 def in_cross(v: Column, grid: int, start_x: Column, width: Column, height: Column) -> Column:
     """Whether a grid cell lies in its window, on the window's middle column or row."""
-    x, y = F.pmod(v, F.lit(grid)), (v - F.pmod(v, F.lit(grid))) / grid
+    x = F.pmod(v, F.lit(grid))
+    y = F.call_function("div", v - x, F.lit(grid))
     inside = (x >= start_x) & (x < start_x + width) & (y >= 0) & (y < height)
     return inside & ((x - start_x == F.shiftright(width, 1)) | (y == F.shiftright(height, 1)))
 
@@ -56,9 +57,10 @@ def balance_ratio(a: Column, b: Column) -> Column:
 
 def grid_dimensions(n: Column) -> Column:
     """struct(width, height): the least width within 10 of the root that divides n, else the root twice."""
-    root = F.floor(F.sqrt(n)).cast("long")
+    near = F.floor(F.sqrt(n)).cast("long")  # of a double, so off by one at most
+    root = F.when(near * near > n, near - 1).when((near + 1) * (near + 1) <= n, near + 1).otherwise(near)
     fits = F.array_min(F.filter(F.sequence(F.greatest(F.lit(1).cast("long"), root - 10), root + 10), lambda w: F.pmod(n, w) == 0))
-    return F.struct(F.coalesce(fits, root).alias("width"), F.coalesce((n / fits).cast("long"), root).alias("height"))
+    return F.struct(F.coalesce(fits, root).alias("width"), F.coalesce(F.call_function("div", n.cast("long"), fits), root).alias("height"))
 
 
 def grid_side(n: int) -> int:

@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class GraphFormatError(ValueError):
+    """A graph file, or arrays of a graph, that break their format."""
+
+
 @dataclass(frozen=True)
 class Meta:
     """A graph file's header: vertices, edges, format code and weights to a vertex."""

@@ -58,6 +58,10 @@ def geometric(members: DataFrame, size: int, grid: int, start_x: int = 0, width:
     return flagged.filter("_in = 1").select("v", "sep_pos")
 
 
+#: The refined spectral separator is the spectral one.
+improved_spectral = spectral
+
+
 def by_value(members: DataFrame, size: int, value: str) -> DataFrame:
     """The middle twentieth in order of (value, place), in that order. members need the value's column."""
     return _cut(ranked(members, value, "pos"), F.col("rank"), size, 5)
@@ -94,4 +98,4 @@ def root_list(graph: Graph) -> tuple[DataFrame, int]:
     return listed(graph.vertices), graph.n
 
 
-__all__ = ["alternating_split", "by_value", "general_geometric", "geometric", "in_slice", "listed", "median_slice", "multilevel", "root_list", "spectral"]
+__all__ = ["alternating_split", "by_value", "general_geometric", "geometric", "improved_spectral", "in_slice", "listed", "median_slice", "multilevel", "root_list", "spectral"]

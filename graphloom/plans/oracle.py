@@ -113,6 +113,8 @@ ORACLE: dict[str, str] = {
     "edge_cut": f"WITH {_graph('bip')}, {_ROOT} SELECT count(*) AS edge_cut FROM e JOIN sides a ON a.v = e.src AND a.side = 'A' JOIN sides b ON b.v = e.dst AND b.side = 'B'",
     "edge_count_check": f"WITH {_graph('bip')} SELECT (SELECT n FROM n) AS n, (SELECT count(*) FROM lineitem) AS m, count(*) AS n_entries, abs(count(*) - 2 * (SELECT count(*) FROM lineitem)) > 0.1 * (SELECT count(*) FROM lineitem) AS edge_count_warning FROM e",
     "metis_tokens": f"WITH {_graph('star')} SELECT src, dst, pos, 1.0::DOUBLE AS w FROM e",
+    "metis_file": f"""WITH {_graph("star")} SELECT d.v, (d.v % 11 + 1)::INTEGER AS size, (d.v % 3)::DOUBLE AS weight_1, (d.v % 5 + 0.25)::DOUBLE AS weight_2, pos, dst, ((src + dst) % 7 + 0.5)::DOUBLE AS w
+      FROM d LEFT JOIN e ON e.src = d.v""",
     "matvec": f"WITH {_GRID.format(g=50)} SELECT src AS v, sum(w * dst)::DOUBLE AS y FROM e GROUP BY src",
     "global_rank": f"WITH {_graph('star')} SELECT v, degree, row_number() OVER (ORDER BY degree DESC, v) - 1 AS rank FROM d",
 }

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import grid_dimensions, grid_side, in_cross
 from ..operators import ordering, quality, ranks, separators, stats
+from ..model import Graph, Meta
 from ..sources import grid, metis, tables
+from ..storage import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Sides of the generated grids.
@@ -79,7 +81,7 @@ def load_csr(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = tables.customers_and_orders(spark, sf_dir)
     offsets = stats.row_offsets(graph).select("v", "row_ptr")
     entries = graph.edges.join(offsets, F.col("src") == F.col("v")).select((F.col("row_ptr") + F.col("pos")).alias("at"), "dst", "w")
-    return grid.edges_from_csr(offsets, entries)
+    return grid.edges_from_csr(offsets, entries, graph.n)
 
 
 def geometric_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,6 +180,25 @@ def metis_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metis.parse_lines(spark, lines).edges
 
 
+def metis_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stars as a graph file with vertex sizes, two vertex weights, edge weights, comments and empty lines, written and read again.
+
+    A row for each entry, or one for a vertex without entries: (v, size, weight_1, weight_2, pos, dst, w).
+    """
+    graph = tables.customers_and_orders(spark, sf_dir)
+    v = F.col("v")
+    vertices = graph.vertices.select("v", (v % 11 + 1).cast("int").alias("size"), F.array((v % 3).cast("double"), v % 5 + 0.25).alias("weights"))
+    edges = graph.edges.withColumn("w", (F.col("src") + F.col("dst")) % 7 + 0.5)
+    whole = Graph(Meta(graph.n, spark.read.parquet(f"{sf_dir}/orders.parquet").count(), 7, 2), vertices, edges)
+    lines = metis.format_lines(whole).withColumn("ordinal", F.col("ordinal").cast("double"))
+    extra = spark.range(-1, graph.n, 50).select(F.inline(F.array(*[F.struct((F.col("id") + at).alias("ordinal"), F.lit(text).alias("value")) for at, text in ((0.25, "% 1 2 3"), (0.5, ""), (0.75, "%"))])))
+    path = scratch(spark, "graph")
+    lines.unionByName(extra).orderBy("ordinal").coalesce(1).select("value").write.text(path)
+    read = metis.read_graph(spark, path)
+    entries = read.edges.withColumnRenamed("src", "v")
+    return read.vertices.join(entries, "v", "left").select("v", "size", F.col("weights")[0].alias("weight_1"), F.col("weights")[1].alias("weight_2"), "pos", "dst", "w")
+
+
 def matvec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stencil of a grid times the vertex numbers."""
     g = grid.grid(spark, SIDE)
@@ -194,6 +215,6 @@ QUERIES: dict[str, Query] = {
     for f in (
         degree, degree_legacy, degree_stats, degree_histogram, classify_graph, fill_estimate, grid_dims, grid_stencil, laplacian, csr_row_ptr, load_csr,
         geometric_mask, geometric_separator, median_slice, rank_partition, general_geometric, multilevel_separator, alternating_split, order_general,
-        order_structured, order_grid, tree_nodes, tree_nodes_structured, separator_quality, refine_separator, edge_cut, edge_count_check, metis_tokens, matvec, global_rank,
+        order_structured, order_grid, tree_nodes, tree_nodes_structured, separator_quality, refine_separator, edge_cut, edge_count_check, metis_tokens, metis_file, matvec, global_rank,
     )
 }

@@ -13,14 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import Graph, Meta
+from ..model import Graph, GraphFormatError, Meta
 from ..storage import stored
 
 
-class GraphFormatError(ValueError):
-    """A graph file that breaks its format."""
-
-
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(ordinal, value) of the file's lines but empty ones and comments; ordinal is dense from 0.
 
@@ -81,7 +77,7 @@ def parse_lines(spark: SparkSession, lines: DataFrame) -> Graph:
     own = F.transform(F.slice("t", n_size + 1, n_weights), lambda t: t.try_cast("double")) if n_weights else F.lit(None).cast("array<double>")
     parsed = rows.select("v", "t", "e", size.alias("size"), own.alias("weights"), neighbours.alias("words"), ids.alias("ids"), weights.alias("ws"))
     bad_id = F.try_element_at(F.filter(F.arrays_zip("words", "ids"), lambda p: p["ids"].isNull() | (p["ids"] < 0) | (p["ids"] >= meta.n)), F.lit(1))["words"]
-    at = F.col("v").cast("string")
+    at = (F.col("v") + 1).cast("string")  # a file counts its vertices from 1
     problem = F.coalesce(
         F.when(F.lit(bool(n_size)) & (F.size("t") < 1), F.concat(F.lit("Missing vertex size on line for vertex "), at)),
         F.when(F.lit(bool(n_size)) & F.col("size").isNull(), F.concat(F.lit("Invalid vertex size on line for vertex "), at)),

@@ -12,10 +12,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Neighbours of one source that are numbered together: those whose numbers have this quotient in common.
+SPAN = 1 << 20
+
+
 def both_ways(pairs: DataFrame) -> DataFrame:
-    """(src, dst, pos) from undirected (a, b): both directions, pos by the neighbour's number."""
+    """(src, dst, pos) from undirected (a, b): both directions, pos by the neighbour's number.
+
+    A source's neighbours are numbered in spans of their numbers, and a span starts where those before it end, so no task numbers
+    a whole hub.
+    """
     rows = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))))
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1)
+    rows = rows.withColumn("_span", F.floor(F.col("dst") / SPAN))
+    before = Window.partitionBy("src").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("src", "_span").agg(F.count(F.lit(1)).alias("_n")).select("src", "_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("src", "_span").orderBy("dst")) - 1
+    # Only later spans have a start other than 0; a source within the first one needs no partner.
+    later = starts.filter("_start > 0")
+    return rows.withColumn("_at", inside).join(later, ["src", "_span"], "left").select("src", "dst", (F.col("_at") + F.coalesce("_start", F.lit(0))).cast("int").alias("pos"))
 
 
 def parts_and_suppliers(spark: SparkSession, sf_dir: str) -> Graph:

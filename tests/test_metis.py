@@ -70,14 +70,19 @@ def test_accepted(spark, tmp_path):
     assert read(spark, tmp_path, "2 1 10\n-5 2\n1 1\n").vertices.filter("weights[0] = -5").count() == 1
 
 
+def test_errors_name_the_vertex_as_the_file_counts(spark, tmp_path):
+    with pytest.raises(GraphFormatError, match="^Missing edge weight for vertex 3$"):
+        read(spark, tmp_path, "3 2 1\n2 1\n1 1 3 1\n2\n")
+
+
 @pytest.mark.parametrize(
     "text,message",
     [
         ("5\n", "Invalid header line format"), ("5 4 0 1 9\n", "Invalid header line format"), (" % text\n1\n", "Invalid header line format"),
         ("2 1\n2\n1\n1\n", "Too many vertex lines in file"), ("3 1\n2\n1\n", "Number of vertex lines doesn't match header"), ("3 1\n2\n1\n\n", "Number of vertex lines doesn't match header"),
-        ("1 0 100\n \n", "Missing vertex size on line for vertex 0"), ("1 0 10 2\n1\n", "Missing vertex weight on line for vertex 0"),
+        ("1 0 100\n \n", "Missing vertex size on line for vertex 1"), ("1 0 10 2\n1\n", "Missing vertex weight on line for vertex 1"),
         ("2 1\n0\n1\n", "Invalid neighbor vertex index: 0"), ("2 1\n3\n1\n", "Invalid neighbor vertex index: 3"), ("2 1\n2x\n1\n", "Invalid neighbor vertex index: 2x"),
-        ("2 1 1\n2\n1 1\n", "Missing edge weight for vertex 0"), ("2 1 1\n2 0\n1 1\n", "Edge weight must be positive"), ("2 1 1\n2 -1\n1 1\n", "Edge weight must be positive"),
+        ("2 1 1\n2\n1 1\n", "Missing edge weight for vertex 1"), ("2 1 1\n2 0\n1 1\n", "Edge weight must be positive"), ("2 1 1\n2 -1\n1 1\n", "Edge weight must be positive"),
         ("0 0\n", "Invalid graph dimensions"), ("", "Invalid graph dimensions"), ("2 -1\n1\n1\n", "Invalid graph dimensions"),
     ],
 )

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars
-from graphloom.model import Graph
+from graphloom.model import Graph, GraphFormatError
 from graphloom.operators import quality, ranks, separators, stats
 from graphloom.sources import grid, tables
 
@@ -111,3 +111,78 @@ def test_csr_and_matvec(spark):
     assert y[0] == 2 and y[5] == 0
     diagonal = {r["src"]: r["w"] for r in stats.laplacian(graph).filter("src = dst").collect()}
     assert diagonal[0] == 3 and diagonal[5] == 5
+
+
+def test_numbers_beyond_doubles(spark):
+    side = 2**31
+    v = 2**61 + 3 * 2**31 + 7
+    got = row(spark, x=scalars.in_cross(F.lit(v), side, F.lit(0).cast("long"), F.lit(14).cast("long"), F.lit(2**62).cast("long")), y=scalars.in_cross(F.lit(v + 1), side, F.lit(0).cast("long"), F.lit(14).cast("long"), F.lit(2**62).cast("long")))
+    assert got["x"] and not got["y"]
+    n = (2**31 - 1) ** 2
+    assert tuple(row(spark, d=scalars.grid_dimensions(F.lit(n)))["d"]) == (2**31 - 1, 2**31 - 1) and scalars.grid_side(n) == 2**31 - 1
+
+
+def test_hubs_are_numbered_in_spans(spark, monkeypatch):
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(5, 200), (5, 17)], "a long, b long").repartition(5)
+    expected = sorted(tuple(r) for r in tables.both_ways(pairs).collect())
+    monkeypatch.setattr(tables, "SPAN", 16)
+    assert sorted(tuple(r) for r in tables.both_ways(pairs).collect()) == expected
+    assert [p for s, _, p in sorted(expected) if s == 0] == list(range(299))
+
+
+def csr(spark, offsets, entries):
+    return spark.createDataFrame(offsets, "v long, row_ptr long"), spark.createDataFrame([(a, d, 1.0) for a, d in entries], "at long, dst long, w double")
+
+
+def test_csr_arrays(spark, monkeypatch):
+    monkeypatch.setattr(grid, "CHUNK", 2)
+    good = csr(spark, [(0, 0), (1, 3), (2, 3), (3, 4)], [(0, 1), (1, 2), (2, 0), (3, 0)])
+    assert sorted((r["src"], r["pos"], r["dst"]) for r in grid.edges_from_csr(*good, 3).collect()) == [(0, 0, 1), (0, 1, 2), (0, 2, 0), (2, 0, 0)]
+
+
+@pytest.mark.parametrize(
+    "offsets,entries,message",
+    [
+        ([(0, 0), (1, 1)], [(0, 0)], "Invalid row_ptr size"), ([(0, 0), (1, 1), (3, 1)], [(0, 0)], "Invalid row_ptr size"), ([(0, 0), (1, 1), (2, 2)], [(0, 0)], "Invalid row_ptr size"),
+        ([(0, 1), (1, 1), (2, 1)], [(0, 0)], "Invalid row_ptr size"), ([(0, 0), (1, 2), (2, 1)], [(0, 0), (1, 1)], "Invalid CSR structure - non-monotonic row_ptr"),
+        ([(0, 0), (1, 1), (2, 2)], [(0, 0), (1, 2)], "Invalid adjacency index: 2"), ([(0, 0), (1, 1), (2, 2)], [(0, -1), (1, 1)], "Invalid adjacency index: -1"),
+        ([(0, 0), (1, 1), (2, 2)], [(0, 0), (5, 1)], "Invalid row_ptr size"),
+    ],
+)
+def test_broken_csr_arrays(spark, offsets, entries, message):
+    with pytest.raises(GraphFormatError, match=f"^{message}$"):
+        grid.edges_from_csr(*csr(spark, offsets, entries), 2)
+
+
+def test_longer_refinement(spark):
+    """Twelve separator vertices that all clearly belong to A: five go, or ten."""
+    sep = spark.range(12).select(F.col("id").alias("v"), F.col("id").alias("sep_pos"))
+    sides = spark.createDataFrame([(100 + i, "A", i) for i in range(3)], "v long, side string, side_pos long")
+    edges = spark.createDataFrame([(s, 100 + i, i, 1.0) for s in range(12) for i in range(3)], "src long, dst long, pos int, w double")
+    assert sorted(r["v"] for r in quality.refine(sep, sides, edges).collect()) == list(range(5, 12))
+    assert sorted(r["v"] for r in quality.kernighan_lin(sep, sides, edges).collect()) == [10, 11]
+    assert separators.improved_spectral is separators.spectral
+
+
+def test_storage(spark, tmp_path):
+    from pathlib import Path
+
+    from graphloom import storage
+
+    df = storage.stored(spark.range(5), "five")
+    path = df._stored_at
+    assert df.count() == 5 and path.startswith(storage.shared_dir(spark)) and path in storage._paths[spark.sparkContext.applicationId]
+    storage.discard(df)
+    assert not Path(path.removeprefix("file://").removeprefix("file:")).exists() and path not in storage._paths[spark.sparkContext.applicationId]
+
+    class Cluster:
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app"
+
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Cluster)

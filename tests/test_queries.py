@@ -27,7 +27,8 @@ def test_query_against_sql(spark, db, name):
     columns = sorted(expected.columns)
     assert sorted(got.columns) == columns and len(got)
     a, b = (df[columns].sort_values(columns).reset_index(drop=True) for df in (got, expected))
-    assert (a.astype(object) == b.astype(object)).all().all()
+    a, b = a.astype(object), b.astype(object)
+    assert ((a == b) | (a.isna() & b.isna())).all().all()
 
 
 def test_entry(spark):
