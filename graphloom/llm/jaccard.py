@@ -232,6 +232,7 @@ def sets(texts: DataFrame, width: int, hashes: bool = False) -> DataFrame:
                     summary.add(h)
                     both.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), parity(h).tobytes()) if len(h) else (0, None, None))
                 yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array([b[i] for b in both], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary())))], names=["id", "n", "print", "bits"])
+        _WORDS.clear()  # a worker waits for its next task with little memory
         if not hashes:
             summary.settle()
             packed = np.stack([summary.hashes.view(np.int64), summary.counts]).T.tobytes()
@@ -277,6 +278,7 @@ def index_rows(texts: DataFrame, width: int, percent: int, frequent: np.ndarray
                     ids, found, total = [], [], 0
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "id"])
+        _WORDS.clear()
 
     return texts.filter("id IS NOT NULL").mapInArrow(run, "key bigint, id bigint")
 

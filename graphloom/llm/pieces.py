@@ -256,6 +256,11 @@ class _Words(dict):
         return out
 
 
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
+
 class Encoder:
     """Encodes whole texts with a model, remembering words."""
 
@@ -334,6 +339,7 @@ def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
                 if whole:
                     out["decoded"] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+        enc.words.forget()  # a worker waits for its next task with little memory
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * whole
