@@ -32,18 +32,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     apart by a hash of all columns. Rows without a word are in no group and all stay. Only rows that may have to go, as a
     broadcast filter of fixed size tells, are joined to those that do; the others' texts are not shuffled.
     """
-    row, print_ = unused("_row", docs.columns), unused("_print", docs.columns)
-    rows = stored(docs.withColumns({row: F.monotonically_increasing_id(), print_: F.xxhash64(*docs.columns)}), "rows")
-    groups = jaccard.near_groups(rows, 5, 80, id_col=row).select(F.col(row).alias("id"), "component_id")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("id"), F.struct(*columns).alias("doc"), F.xxhash64(*columns).alias("print")), "rows")
+    groups = jaccard.near_groups(rows.select("id", "doc.text"), 5, 80, id_col="id").select("id", "component_id")
     tied = stored(groups.filter("id <> component_id"), "tied")
     members = tied.unionByName(tied.select(F.col("component_id").alias("id"), "component_id").distinct())
-    order = narrowed(rows.select(F.col(row).alias("id"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", print_, row).alias("rank")), "id", members)
-    ranked = stored(members.join(order, "id"), "ranked")
-    kept = ranked.groupBy("component_id").agg(F.min("rank")[row].alias("id"))
+    order = rows.select("id", F.struct(F.col("doc.doc_id").isNull().alias("none"), "doc.doc_id", "print", "id").alias("rank"))
+    ranked = stored(members.join(narrowed(order, "id", members), "id"), "ranked")
+    kept = ranked.groupBy("component_id").agg(F.min("rank")["id"].alias("id"))
     gone = stored(ranked.select("id").join(kept, "id", "left_anti"), "gone")
-    maybe = maybe_in(rows, row, gone)
-    left = maybe.filter("_maybe").join(gone, F.col(row) == gone["id"], "left_anti")
-    return maybe.filter("NOT _maybe").unionByName(left).select(*docs.columns)
+    maybe = maybe_in(rows, "id", gone)
+    left = maybe.filter("_maybe").join(gone, "id", "left_anti")
+    return maybe.filter("NOT _maybe").unionByName(left).select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
