@@ -127,3 +127,18 @@ def test_one_row_of_each_group_stays_without_ids_and_with_repeated_ids(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, df.limit(0), SMALL).count() == 0
         stage(spark, df, SMALL).collect()
+
+
+def test_stages_keep_columns_of_clashing_names(spark):
+    """Columns named like whatever a stage adds come back with their own values."""
+    names = ["lang_pred", "score", "accepted", "predicted", "size", "src", "copies", "row", "shard", "order", "id", "doc", "print", "rank", "h", "group", "_maybe", "_at", "_row", "component_id", "n_shingles", "bits"]
+    texts = [f"Some plain words number {i} are here, and {i * 7} more of them follow in this text." for i in range(6)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    df = spark.createDataFrame([(i % 5, t, "en", "a" if i % 2 else None, 5, *(f"{n} {i}" for n in names)) for i, t in enumerate([*texts, texts[0]])], schema)
+    every = {tuple(r) for r in df.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, SMALL)
+        assert out.columns == df.columns, name
+        assert {tuple(r) for r in out.collect()} <= every, name
+    assert {tuple(r) for r in corpus_pipeline.near_duplicates(spark, df, SMALL).collect()} == {tuple(r) for r in df.limit(6).collect()}
+    assert corpus_pipeline.sentencepiece(spark, df, SMALL).count() == 7
