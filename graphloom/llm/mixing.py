@@ -128,14 +128,15 @@ def mixed_rows(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return plan.select(id_col, "source", "size", F.inline("copies"), *["row"] * ("row" in plan.columns))
 
 
-def in_shards(plan: DataFrame) -> DataFrame:
-    """The rows of all copies (shard and row) of a plan that carries rows, each shard in pieces, each piece shuffled by its documents' hashed order.
+def in_shards(plan: DataFrame, shard_levels: int = 4) -> DataFrame:
+    """The rows of all copies (shard and row) of a plan that carries rows, in order of shard and hashed order across and inside partitions.
 
-    A piece holds a shard's orders between two bounds, so a shard's pieces one after the other are the shard in its order.
+    Shards get equal shares of blocks and orders are uniform, so the bounds between partitions are known beforehand: one shuffle, no sampling run.
     """
     rows = mixed_rows(plan).select("shard", "order", "row")
     parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, "shard", "order").sortWithinPartitions("shard", "order").select("shard", "row")
+    at = (F.col("shard") + F.col("order") / F.lit(float(2**52))) * (parts / 2**shard_levels)
+    return rows.repartitionById(parts, F.least(F.floor(at), F.lit(parts - 1)).cast("int")).sortWithinPartitions("shard", "order").select("shard", "row")
 
 
 def write_shards(plan: DataFrame, path: str) -> None:

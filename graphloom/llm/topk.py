@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import discard, few, stored, table
 
 BLOCK, QUERY_BATCH = 16_384, 128
+#: Components of a vector up to which a block or batch holds so many rows; of longer ones it holds as many bytes.
+LENGTH = 64
 WORD = 64
 #: Values that slices don't hold, and the greatest score.
 WIDE, LONG = 2.0**61, 2**63 - 1
@@ -175,11 +177,11 @@ class Block:
 
 
 def _packed(vectors: DataFrame, size: int) -> DataFrame:
-    """(d, number, numbers, ids, vals): about size rows of length d in each number of 0 to numbers - 1; values are doubles in one binary.
+    """(d, number, numbers, ids, vals): about size rows of length d in each number of 0 to numbers - 1, fewer if they are longer than LENGTH; values are doubles in one binary.
 
     Rows are dealt by a hash of what they hold and of where they stand, so copies and repeated ids spread over all numbers.
     """
-    numbers = vectors.groupBy(F.size("v").alias("_d")).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("numbers"))
+    numbers = vectors.groupBy(F.size("v").alias("_d")).agg(F.ceil(F.count(F.lit(1)) * F.greatest(F.lit(1.0), F.first(F.size("v")) / F.lit(LENGTH)) / size).cast("int").alias("numbers"))
 
     def pack(rows: pa.Table) -> pa.Table:
         ids = rows.column("id").to_numpy()
