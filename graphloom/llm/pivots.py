@@ -38,7 +38,7 @@ from .topk import usable
 
 SAMPLE, PIVOTS, SHARED, BLOCK = 4096, 4096, 2, 512
 #: Planes of a signature; a multiple of 32.
-PLANES = 96
+PLANES = 192
 
 
 def n_pivots(n: int) -> int:
@@ -87,7 +87,7 @@ def signatures(x: np.ndarray) -> np.ndarray:
 def bits_apart(threshold: float) -> int:
     """Differing signature bits that a pair at the threshold stays within, but for one in a billion."""
     p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    return math.ceil(PLANES * p + 6 * math.sqrt(PLANES * p * (1 - p)) + 2)
+    return math.ceil(PLANES * p + 6 * math.sqrt(PLANES * p * (1 - p)))
 
 
 def postings(entries: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:

@@ -65,7 +65,7 @@ def test_recall_at_the_threshold(n, least):
     shared = (a[:, :, None] == b[:, None, :]).sum(axis=(1, 2))
     assert (shared >= pivots.SHARED).mean() >= least
     apart = np.bitwise_count(pivots.signatures(base) ^ pivots.signatures(other)).sum(axis=1)
-    assert apart.max() <= pivots.bits_apart(0.95) < 40
+    assert apart.max() <= pivots.bits_apart(0.95) < pivots.PLANES / 4
 
 
 def test_copies_are_one_entry(spark):
