@@ -78,7 +78,7 @@ def _least(key: Column, tree: Tree) -> Column:
 
 def placed(df: DataFrame, key: str, tree: Tree, name: str = "shard") -> DataFrame:
     """df with its shard, as a column of that name; one projection, no shuffle."""
-    return df.withColumn(name, _least(F.coalesce(F.col(key).cast("string"), F.lit("null")), tree)["shard"])
+    return df.withColumn(name, _least(_key(key), tree)["shard"])
 
 
 def path(shard: Column, tree: Tree) -> Column:
@@ -87,27 +87,43 @@ def path(shard: Column, tree: Tree) -> Column:
     return F.struct(F.floor(shard / (per * tree.racks_per_region)).cast("int").alias("region"), F.floor(shard / per).cast("int").alias("rack"))
 
 
-def shard_rows(df: DataFrame, key: str, tree: Tree, order: list[str] = ()) -> DataFrame:
-    """df with ``shard`` and ``slot``, gapless from 0 in each shard.
+def _key(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("null"))
+
+
+def grown(reached: Column, key: str, tree: Tree) -> Column:
+    """The shard with one more of weight 1, for a row that reaches ``reached`` (from ``_least``): the new one where its draw is less, else the same."""
+    n = tree.n
+    digest = F.conv(F.substring(_digest(_key(key), F.lit(n // DRAWS)), n % DRAWS * DIGITS + 1, DIGITS), 16, 10).cast("double")
+    draw = -F.ln((digest + 1) / F.lit(float(16**DIGITS + 1)))
+    return F.when(reached.isNull() | (draw < reached["draw"]), F.lit(n)).otherwise(reached["shard"])
+
+
+def slots(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
+    """df, which has a shard of n, with ``slot``, gapless from 0 in each shard.
 
     Slots are numbered inside groups of about GROUP_ROWS rows of a shard, dealt by a hash of the key and the columns of order,
     and each group starts where the groups before it end: no task holds a whole shard. Rows that are equal in all of these have neighbouring slots.
-    df's own columns named shard or slot come back as ``shard_`` and ``slot_``.
     """
-    order = [f"{c}_" if c in ("shard", "slot") else c for c in order]
-    key = f"{key}_" if key in ("shard", "slot") else key
-    df = df.select(*[F.col(f"`{c}`").alias(f"{c}_" if c in ("shard", "slot") else c) for c in df.columns])
     group, start, own = (unused(n, df.columns) for n in ("_group", "_start", "_own"))
-    groups = max(1, -(-df.count() // (GROUP_ROWS * tree.n)))
-    number = draw52(F.lit("slot"), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in (key, *order)]) % groups
-    marked = placed(df, key, tree).withColumn(group, number)
-    sizes = placed(df.select(key, *[c for c in order if c != key]), key, tree).withColumn(group, number).groupBy("shard", group).agg(F.count(F.lit(1)).alias("_n"))
+    groups = max(1, -(-df.count() // (GROUP_ROWS * n)))
+    number = draw52(F.lit("slot"), *[_key(c) for c in (key, *order)]) % groups
+    marked = df.withColumn(group, number)
+    sizes = marked.groupBy("shard", group).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(start))
     inside = Window.partitionBy("shard", group).orderBy(key, *order)
     numbered = marked.withColumn(own, F.row_number().over(inside).cast("long") - 1)
-    joined = numbered.join(small(starts, tree.n * groups), ["shard", group])
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], "shard", (F.col(own) + F.col(start)).alias("slot"))
+    joined = numbered.join(small(starts, n * groups), ["shard", group])
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(own) + F.col(start)).alias("slot"))
+
+
+def shard_rows(df: DataFrame, key: str, tree: Tree, order: list[str] = ()) -> DataFrame:
+    """df with ``shard`` and ``slot``. df's own columns named shard or slot come back as ``shard_`` and ``slot_``."""
+    order = [f"{c}_" if c in ("shard", "slot") else c for c in order]
+    key = f"{key}_" if key in ("shard", "slot") else key
+    df = df.select(*[F.col(f"`{c}`").alias(f"{c}_" if c in ("shard", "slot") else c) for c in df.columns])
+    return slots(placed(df, key, tree), key, order, tree.n)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
@@ -116,10 +132,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
-        F.lit("key").alias("law"),
+        _least(_key("doc_id"), Tree(n)).alias("reached"),
     )
-    out = shard_rows(stored(docs, "sizes"), "doc_id", Tree(n), ["text_crc32", "size"])
-    return placed(out, "doc_id", Tree(n + 1), "grown_shard").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    thin = stored(docs, "placed").withColumn("shard", F.col("reached.shard"))
+    out = slots(thin, "doc_id", ["text_crc32", "size"], n)
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", grown(F.col("reached"), "doc_id", Tree(n)).cast("int").alias("grown_shard"))
 
 
 def _reached(n: int) -> str:

@@ -188,6 +188,10 @@ def test_growth_takes_rows_only_into_the_new_shard(spark):
     for n in range(39, 45):
         moved = [(r[f"n{n}"], r[f"n{n + 1}"]) for r in got if r[f"n{n}"] != r[f"n{n + 1}"]]
         assert all(b == n for _, b in moved) and 90 < len(moved) < 210
+    for n in (39, 40, 44):
+        tree = sharding.Tree(n)
+        pairs = keys.select(f"n{n + 1}", sharding.grown(sharding._least(sharding._key("k"), tree), "k", tree).alias("g")).collect()
+        assert all(r[0] == r["g"] for r in pairs)
     assert all(90 < c < 210 for c in Counter(r["n40"] for r in got).values())
     shard = F.col("s").cast("int")
     at = {r["s"]: tuple(r["p"]) for r in spark.range(40).toDF("s").select("s", sharding.path(shard, sharding.Tree(40)).alias("p")).collect()}
